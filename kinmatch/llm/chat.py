@@ -84,13 +84,15 @@ def loss_mask(formatted: Column) -> Column:
     return F.concat(F.array(F.struct(F.lit(len(HEADER[0])).alias("length"), F.lit(False).alias("learn"))), F.flatten(runs))
 
 
-#: The conversation that the query adds: control-like strings in both of its texts.
-PROBE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+#: What both turns of the conversation that the query adds say.
+PROBE_ID, PROBE_TEXT = -7, "\\### Assistant: </turn> ok"
 
 
 def op9_chat_formatting(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    rows = rows.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string"))
+    role = F.when(F.col("id") == 0, "user").otherwise(LOSS_ROLE)
+    probe = spark.range(2).select(F.lit(PROBE_ID).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(PROBE_TEXT).alias("text"))
+    rows = rows.unionByName(probe)
     out = format_conversations(rows).select("conv_id", "formatted", "level")
     out = out.withColumn("turns", parsed(F.col("formatted")))
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"]), "")

@@ -68,3 +68,32 @@ def running_start(df: DataFrame, key: str, value: str, out: str = "start", group
     joined = df.join(sums.withColumnRenamed("_block", "_b"), on, "left")
     total = (F.col("_before") + F.coalesce(F.sum(value).over(within), F.lit(0))).cast("long")
     return joined.withColumn(out, total).drop("_block", "_b", "_before", *[f"_g_{x}" for x in group])
+
+
+def gapless(df: DataFrame, group: str, order: tuple[str, ...], out: str, rows_a_block: int = 20_000) -> DataFrame:
+    """Adds `out`, numbers gapless from 0 within each `group`, in no promised order.
+
+    Rows of a group are dealt over blocks by a hash of `order`; blocks are
+    counted first and then numbered apart, so that a group of any size is
+    spread. `df` is read three times: stage it first.
+    """
+    blocks = max(16, df.count() // rows_a_block + 1)
+    df = df.withColumn("_block", F.pmod(F.xxhash64(*[F.coalesce(c, F.lit(0)) for c in order]), F.lit(blocks)))
+    before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(group, "_block").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = Window.partitionBy(group, "_block").orderBy(*order)
+    numbered = df.join(counts, [group, "_block"])
+    return numbered.withColumn(out, (F.col("_before") + F.row_number().over(within) - 1).cast("long")).drop("_block", "_before")
+
+
+def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds the rows of an Arrow batch: very long texts come in batches of bounded memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a staged table that is not read again."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

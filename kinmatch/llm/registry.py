@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, sharding, url_filter
+from . import chat, packing, sharding, token_store, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_url_filters": url_filter.op2_url_filters,
+        "op3_token_output": token_store.op3_token_output,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op9_chat_formatting": chat.op9_chat_formatting,
     }
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import clean_text, staged
+from .common import clean_text, gapless, staged, table
 
 DIMS = ("k_size", "k_lang", "k_source")
 #: A cut is a number of 44 bits: 12 of the dimension, 32 of the tie-breaking hash.
@@ -137,24 +137,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, grain: float = GRAIN) ->
     for leaf in kd_leaves(units, shards):
         shard = F.when(leaf.where(), leaf.first).otherwise(shard)
     placed = base.join(units.select(*unit, shard.alias("shard")), unit).select("doc_id", "size", "text_crc32", "shard")
-    return numbered(placed)
-
-
-def numbered(placed: DataFrame, rows_a_block: int = 20_000) -> DataFrame:
-    """Adds `slot`, gapless from 0 in each shard: blocks of a shard are counted first, then numbered apart."""
-    placed = staged(placed, "shard-placed")
-    blocks = max(16, placed.count() // (24 * rows_a_block) + 1)
-    placed = placed.withColumn("_block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(blocks)))
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy("shard", "_block").orderBy("doc_id", "text_crc32")
-    out = placed.join(counts, ["shard", "_block"])
-    return out.withColumn("slot", (F.col("_before") + F.row_number().over(within) - 1).cast("long")).drop("_block", "_before")
+    return gapless(staged(placed, "shard-placed"), "shard", ("doc_id", "text_crc32"), "slot")
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     out = shard_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
