@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, packing, sharding, token_store, url_filter
+from . import chat, decontamination, packing, pii, quality, secrets, sharding, token_store, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,10 @@ def queries() -> dict:
         "op2_url_filters": url_filter.op2_url_filters,
         "op3_token_output": token_store.op3_token_output,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op4_secret_scans": secrets.op4_secret_scans,
+        "op7_decontamination": decontamination.op7_decontamination,
+        "op8_quality_rules": quality.op8_quality_rules,
+        "op10_pii": pii.op10_pii,
         "op9_chat_formatting": chat.op9_chat_formatting,
     }
 
