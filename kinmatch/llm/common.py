@@ -97,3 +97,13 @@ def forget(spark: SparkSession, path: str) -> None:
     """Deletes a staged table that is not read again."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Deletes a staged table whose rows are not needed any more, and lets go of the shuffles behind it."""
+    import gc
+
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        forget(df.sparkSession, path)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
