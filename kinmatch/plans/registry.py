@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import entities, links
+
 
 def queries() -> dict:
-    return {}
+    return links.QUERIES | entities.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return links.SQL | entities.SQL
