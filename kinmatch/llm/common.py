@@ -8,10 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table `name` below `sf_dir`, by any path that Spark can open."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..sources.tables import table  # noqa: F401
 
 
 def shared_dir(spark: SparkSession) -> str:
