@@ -3,13 +3,16 @@
 White space never lies inside a token of this tokenizer, so a text is the
 concatenation of its chunks between spaces and line feeds, and the ids of a
 chunk are kept from one text to the next (two generations of bounded size).
-Unknown chunks are encoded together by the library and told apart by offsets.
+Unknown chunks are encoded together by the library and told apart by offsets;
+lower-case words of Latin letters, which normalisation leaves as they are and
+pre-tokenisation never cuts, go straight to the library's model.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -18,6 +21,16 @@ TOKENIZER = "word_bpe_49k.json"
 _OTHER = re.compile("[^\x00-ɏ]")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: bytes that print stand for themselves, the others for the code points from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -27,17 +40,23 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str, generation: int = 350_000):
+    def __init__(self, path: str, generation: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.generation, self.young, self.old = generation, {"": b""}, {}
         self.marks = {m: self._ids(m) for m in ",."}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
     def _learn(self, unknown: set[str]) -> None:
         fresh: dict[str, None] = {}
         ended = []
@@ -53,6 +72,9 @@ class ChunkEncoder:
                         fresh[c[:-1]] = None
             else:
                 fresh[c] = None
+        for c in [c for c in fresh if c.isalpha() and c == c.lower() and not _OTHER.search(c)]:
+            self.young[c] = self._word(c)
+            del fresh[c]
         words = list(fresh)
         for i in range(0, len(words), 256):
             block = words[i : i + 256]
