@@ -228,7 +228,7 @@ def token_topk(spark, d):
 GRAMS = """, w AS (SELECT entity_id, source, country, ' ' || unnest(string_split(basic, ' ')) || ' ' AS w FROM e WHERE basic <> ''), n AS (SELECT unnest([3, 4, 5]) AS n),
 g AS (SELECT entity_id, source, country, substr(w, i, n) AS term, count(*) AS tf FROM (SELECT *, unnest(range(1, (length(w) - n + 2)::BIGINT)) AS i FROM w, n WHERE length(w) >= n) GROUP BY ALL),
 nd AS (SELECT source, count(*) AS docs FROM e WHERE source <> 'S1' AND basic <> '' GROUP BY 1), df AS (SELECT * FROM (SELECT source, term, count(*) AS df FROM g WHERE source <> 'S1' GROUP BY 1, 2) JOIN nd USING (source) WHERE df <= greatest(1, floor(docs * 0.3))),
-idf AS (SELECT source, term, ln((docs + 1) / (df + 1)) + 1 AS idf FROM df), t0 AS (SELECT entity_id AS target, g.source, country, term, tf * idf AS w FROM g JOIN idf ON g.source = idf.source AND g.term = idf.term), q0 AS (SELECT entity_id AS s1, idf.source, country, g.term, tf * idf AS w FROM g JOIN idf ON g.term = idf.term WHERE g.source = 'S1'),
+idf AS (SELECT source, term, ln((docs + 1) / (df + 1)) + 1 AS idf FROM df), t0 AS (SELECT entity_id AS target, g.source, country, g.term, tf * idf AS w FROM g JOIN idf ON g.source = idf.source AND g.term = idf.term), q0 AS (SELECT entity_id AS s1, idf.source, country, g.term, tf * idf AS w FROM g JOIN idf ON g.term = idf.term WHERE g.source = 'S1'),
 t1 AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY target)) AS wt FROM t0), q1 AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY s1, source)) AS wq FROM q0), sm AS (SELECT s1, q1.source, target, round(sum(wq * wt), 8) AS score FROM q1 JOIN t1 ON q1.source = t1.source AND q1.country = t1.country AND q1.term = t1.term GROUP BY ALL)"""
 
 
