@@ -6,18 +6,22 @@ is at most K = floor((|A| + |B|) / 7). K's grid of bands gives every pair a
 band in which both emit signatures: the shingle domain is split into groups of
 partitions, more than K differences can spoil, and each group enumerates the
 subsets of its partitions that must agree when few differences fall into it.
-Equal subsets are one signature, and sufficiently similar sets share one.
+Equal subsets are one signature, and sufficiently similar sets share one. For
+small K the partitions are single shingles: then cold signatures that two sets
+do not share are differences, one each, and shared ones are the intersection.
 
 Signatures travel as packed arrays (7 bytes each) and are grouped in buckets,
-whose number follows spark.sql.shuffle.partitions. Those shared by more than
-HOT sets are hot. A set that keeps more signatures that are not hot than K can
-spoil shares one of them with every set it links with, so its hot ones are not
-needed; the hot signatures of the other sets are looked at among these alone.
-
-No group is expanded into all its pairs: each group compares its members with
-its smallest one (a star), the links found are merged into components, and
-only members of another component than the pivot's are compared further, as
-far as the triangle inequality of the Jaccard distance leaves a link possible.
+whose number follows spark.sql.shuffle.partitions. At most COLD sets share a
+cold signature; more make it hot. A set with `slack + 1` more signatures than
+its differences and its hot signatures can spoil shares more than `slack` cold
+ones with every set it links with: pairs that share fewer are no candidates,
+and its hot signatures are not needed. The hot signatures of the other sets
+are looked at among these sets alone, and no such group is expanded into all
+its pairs: its members are compared with its smallest one (a star), the links
+found are merged into components, and only members of another component than
+the pivot's meet the rest of the group, where pairs must again share more
+signatures, hot and cold, than differences can leave.
+
 Candidates are verified on the whole texts. Exact copies are reduced to one
 representative first.
 
@@ -41,11 +45,11 @@ from .common import arrow_batches, clean_text, drop_staged, partitions, staged,
 from .components import components
 
 WORDS = 5
-HOT = 48
-RATIO, SPARE = 1.4, (1.4, 3.0)
-#: Below this K a group is three partitions of which two must agree; from it on, one.
-FINE = 16
-EMPTY_LEVEL = 2
+COLD = 8
+RATIO = 1.4
+#: Below this K every shingle is a partition of its own; from it on, partitions are hashed.
+FINE = 150
+FINE_SPACE, EMPTY_LEVEL = 0, 2
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _STIR = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -91,9 +95,9 @@ def bands(n: int) -> range:
 
 def shape(k: int, level: int) -> tuple[int, int, int, int]:
     """Groups, partitions a group, differences a group bears, and groups that must be sure, for a band of K = k."""
-    bears, each = (1, 3) if k < FINE else (0, 1)
+    bears, each = 0, 1
     sure = k // (bears + 1) + 1
-    return int(SPARE[min(level, 1)] * sure) + 3, each, bears, sure
+    return int((8.0 if level else 1.8) * sure) + 3, each, bears, sure
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -107,8 +111,9 @@ def signatures(s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
     The margin is how many of its signatures may be hot (or, below zero, must
     not be missed) while a link is still sure to show in another.
     """
-    out = []
-    for band in bands(len(s)):
+    near = bands(len(s))
+    out = [(FINE_SPACE, 0, _stir(s + _STIR))] if not len(near) or GRID[near[0]] < FINE else []
+    for band in (b for b in near if GRID[b] >= FINE):
         k = int(GRID[band])
         for level in range(2):
             groups, each, bears, sure = shape(k, level)
@@ -180,55 +185,71 @@ def _pack(buckets: int):
     return run
 
 
-MET = "sig long, block long, entry int, hot boolean, doc long, n int, space int, margin int"
+MET = "kind int, sig long, a long, b long, doc long, n int, space int, margin int"
+ENTRIES, PAIRS, HOT = range(3)
+
 
+def _meet(cold: int):
+    """One bucket: pairs of entries that share a cold signature, members of hot ones; or the entries of blocks."""
 
-def _meet(hot: int):
-    """One bucket: signatures that several entries share (the smallest part of all), or the entries of blocks."""
+    def table_of(kind: int, **cols) -> pa.Table:
+        n = len(next(iter(cols.values())))
+        kinds = dict(x.split() for x in MET.split(", "))
+        arrow = {"int": pa.int32(), "long": pa.int64()}
+        cols["kind"] = np.full(n, kind)
+        return pa.Table.from_arrays([pa.array(cols[c], arrow[t]) if c in cols else pa.nulls(n, arrow[t]) for c, t in kinds.items()], list(kinds))
 
     def run(tbl: pa.Table) -> pa.Table:
-        bucket = tbl.column("bucket")[0].as_py() if len(tbl) else 0
-        none = lambda n, t: pa.nulls(n, t)
+        bucket, block = tbl.column("bucket")[0].as_py(), tbl.column("block").to_numpy() << 16
         if bucket < 0:
             parts = [np.frombuffer(x, ENTRY) for x in tbl.column("docs").to_pylist()]
-            block = np.repeat(tbl.column("block").to_numpy(), [len(x) for x in parts])
-            entry = np.concatenate([np.arange(len(x)) for x in parts]).astype(np.int32)
             e = np.concatenate(parts)
-            cols = [none(len(e), pa.int64()), pa.array(block), pa.array(entry), none(len(e), pa.bool_()), pa.array(e["doc"]), pa.array(e["n"]), pa.array(e["space"].astype(np.int32)), pa.array(e["margin"])]
-        else:
-            raw = np.frombuffer(b"".join(tbl.column("sigs").to_pylist()), np.uint8).reshape(-1, 5)
-            sig = np.zeros((len(raw), 8), np.uint8)
-            sig[:, :5] = raw
-            sig = sig.view("<u8").ravel()
-            entries = [np.frombuffer(x, "<u2") for x in tbl.column("entries").to_pylist()]
-            block = np.repeat(tbl.column("block").to_numpy(), [len(x) for x in entries])
-            entry = np.concatenate(entries).astype(np.int32)
-            order = np.argsort(sig, kind="stable")
-            sig = sig[order]
-            first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            size = np.repeat(np.diff(np.append(first, len(sig))), np.diff(np.append(first, len(sig))))
-            keep = size > 1
-            at = order[keep]
-            cols = [pa.array((sig[keep] | np.uint64(bucket << 40)).astype(np.int64)), pa.array(block[at]), pa.array(entry[at]), pa.array(size[keep] > hot), *(none(int(keep.sum()), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
-        return pa.Table.from_arrays(cols, [x.split()[0] for x in MET.split(", ")])
+            entry = np.concatenate([np.arange(len(x)) for x in parts]) + np.repeat(block, [len(x) for x in parts])
+            return table_of(ENTRIES, a=entry, doc=e["doc"], n=e["n"], space=e["space"], margin=e["margin"])
+        sig = np.zeros((sum(len(x) for x in tbl.column("sigs").to_pylist()) // 5, 8), np.uint8)
+        sig[:, :5] = np.frombuffer(b"".join(tbl.column("sigs").to_pylist()), np.uint8).reshape(-1, 5)
+        sig = sig.view("<u8").ravel()
+        parts = [np.frombuffer(x, "<u2") for x in tbl.column("entries").to_pylist()]
+        entry = np.concatenate(parts).astype(np.int64) + np.repeat(block, [len(x) for x in parts])
+        order = np.argsort(sig, kind="stable")
+        sig, entry = sig[order], entry[order]
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        counts = np.diff(np.append(first, len(sig)))
+        size = np.repeat(counts, counts)
+        hot = size > cold
+        left, right = [], []
+        for step in range(1, cold):
+            same = np.flatnonzero((sig[step:] == sig[:-step]) & ~hot[step:])
+            left.append(np.minimum(entry[same], entry[same + step]))
+            right.append(np.maximum(entry[same], entry[same + step]))
+        pairs = table_of(PAIRS, a=np.concatenate(left), b=np.concatenate(right))
+        return pa.concat_tables([pairs, table_of(HOT, sig=(sig[hot] | np.uint64(bucket << 40)).astype(np.int64), a=entry[hot])])
 
     return run
 
 
-def members(reps: DataFrame, hot: int = HOT) -> DataFrame:
-    """sig, doc, n: the groups of two and more sets that may link (staged)."""
+def met(reps: DataFrame, cold: int = COLD) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) by cold signatures, and the members (sig, entry, doc, n, space, margin, cold) of hot groups that need a look. Both staged."""
     arrow_batches(reps.sparkSession)
     buckets = 4 * partitions(reps.sparkSession)
     packed = reps.select("doc_id", "text").mapInArrow(_pack(buckets), PACKED)
-    met = staged(packed.groupBy("bucket").applyInArrow(_meet(hot), MET), "partenum")
-    entries = met.where("sig is null").select("block", "entry", "doc", "n", "space", "margin")
-    found = staged(met.where("sig is not null").select("sig", "block", "entry", "hot").join(entries, ["block", "entry"]).drop("block", "entry"), "members")
-    drop_staged(met)
-    needed = found.where("hot").groupBy("doc", "space").agg(F.count("*").alias("c"), F.max("margin").alias("m")).where("c > m").select("doc", "space")
-    active = found.where("not hot").unionByName(found.where("hot").join(needed, ["doc", "space"], "left_semi").select(*found.columns))
-    out = staged(active.select("sig", "doc", "n"), "active")
-    drop_staged(found)
-    return out
+    every = staged(packed.groupBy("bucket").applyInArrow(_meet(cold), MET), "partenum")
+    hot = every.where(F.col("kind") == HOT).select("sig", F.col("a").alias("entry"))
+    spoiled = hot.groupBy("entry").agg(F.count("*").alias("hot"))
+    entries = every.where(F.col("kind") == ENTRIES).select(F.col("a").alias("entry"), "doc", "n", "space", "margin").join(spoiled, "entry", "left").na.fill(0, ["hot"])
+    entries = staged(entries.withColumns({"slack": F.col("margin") - F.col("hot"), "cold": F.col("n") - F.col("hot")}), "entries")
+    shared = every.where(F.col("kind") == PAIRS).groupBy("a", "b").agg(F.count("*").alias("c"))
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("doc", "n", "slack", "cold")]
+    told = shared.join(entries.select(F.col("entry").alias("a"), "space", *side("a")), "a").where(f"space = {FINE_SPACE} or c > slack_a")
+    told = told.join(entries.select(F.col("entry").alias("b"), *side("b")), "b")
+    told = told.where(f"case when space = {FINE_SPACE} then 7 * (cold_a + cold_b - 2 * c) <= n_a + n_b else c > slack_b end and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    pairs = staged(told.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).where("a < b").distinct(), "cold-pairs")
+    # cold shingles of a set all differ from a set that shares hot ones only: at most a third of its size, or no link
+    needed = entries.where(f"hot > 0 and case when space = {FINE_SPACE} then 3 * cold <= n else slack < 0 end").select("entry", "doc", "n", "space", "margin", "cold")
+    active = staged(hot.join(needed, "entry"), "hot-members")
+    for t in (every, entries):
+        drop_staged(t)
+    return pairs, active
 
 
 def _bloom(ids: DataFrame, bits: int = 23) -> Column:
@@ -273,27 +294,28 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 LINK = "100 * inter >= 75 * joint"
 
 
-def set_links(active: DataFrame, docs: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components are those of all links between the sets of `active`. Staged."""
-    pivots = active.groupBy("sig").agg(F.min("doc").alias("p"), F.count("*").alias("c")).where("c > 1").drop("c")
+def set_links(cold: DataFrame, active: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edges (a, b) whose components are those of all links between sets, from what `met` returns. Staged."""
+    pivots = active.groupBy("sig").agg(F.min(F.struct("doc", "margin", "cold", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("sig", F.col("p.doc").alias("p"), *[F.col(f"p.{c}").alias(f"{c}_p") for c in ("margin", "cold", "n")])
     starred = staged(active.join(pivots, "sig"), "starred")
-    stars = staged(starred.where("doc <> p").select(F.col("p").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
-    first = verify(stars, docs)
-    drop_staged(stars)
+    # a pair of a star may share further signatures in groups of another pivot: half of what a link needs will do here
+    stars = starred.where(f"doc <> p and (space <> {FINE_SPACE} or 7 * (cold + cold_p) <= n + n_p)").groupBy("p", "entry", "doc", "space").agg(F.count("*").alias("c"), F.max(F.greatest("margin_p", "margin")).alias("m"), F.max(F.col("n") + F.col("n_p")).alias("nn"))
+    stars = stars.where(f"case when space = {FINE_SPACE} then 14 * c >= 3 * nn else 2 * c > m end")
+    pairs = staged(cold.unionByName(stars.select(F.col("p").alias("a"), F.col("doc").alias("b"))).distinct(), "pairs")
+    first = verify(pairs, docs)
+    drop_staged(pairs)
     merged = components(first.where(LINK).select("a", "b"))
 
     label = merged.select(F.col("vertex").alias("doc"), F.col("component").alias("label"))
-    known = first.select(F.col("a").alias("p"), F.col("b").alias("doc"), (1 - F.col("inter") / F.col("joint")).alias("d"))
-    told = starred.join(known, ["p", "doc"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    told = told.join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    told = starred.join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     told = told.join(label.select(F.col("doc").alias("p"), F.col("label").alias("home")), "p", "left").withColumn("home", F.coalesce("home", "p"))
-    told = staged(told.where("doc <> p").select("sig", "doc", "n", "d", "label", "home"), "told")
-    # a link is at most 1/4 apart, so the distances of its ends to the pivot differ by no more
-    step = lambda c: F.floor(c * 4).cast("int")
-    away = told.where("label <> home").select("sig", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("label").alias("lx"), F.explode(F.array(*[step(F.col("d")) + i for i in (-1, 0, 1)])).alias("s"))
-    near = told.select("sig", F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("label").alias("ly"), step(F.col("d")).alias("s"))
-    may = (F.col("lx") != F.col("ly")) & (F.abs(F.col("dx") - F.col("dy")) <= 0.2501) & (4 * F.least("nx", "ny") >= 3 * F.greatest("nx", "ny"))
-    more = away.join(near, ["sig", "s"]).where(may).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    told = staged(told.select("sig", "entry", "doc", "n", "space", "margin", "cold", "label", (F.col("label") != F.coalesce("home", "p")).alias("away")), "told")
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("entry", "doc", "n", "margin", "cold", "label", "away")]
+    met_ = told.where("away").select("sig", "space", *side("x")).join(told.select("sig", *side("y")), "sig")
+    met_ = met_.where(f"label_x <> label_y and (not away_y or doc_x < doc_y) and 4 * least(n_x, n_y) >= 3 * greatest(n_x, n_y) and (space <> {FINE_SPACE} or 7 * (cold_x + cold_y) <= n_x + n_y)")
+    more = met_.groupBy("entry_x", "entry_y", "doc_x", "doc_y", "space").agg(F.count("*").alias("c"), F.max(F.greatest("margin_x", "margin_y")).alias("m"), F.max(F.col("n_x") + F.col("n_y")).alias("nn"))
+    more = more.where(f"case when space = {FINE_SPACE} then 7 * c >= 3 * nn else c > m end")
+    more = more.select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).distinct()
     more = staged(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     second = verify(more, docs)
     out = staged(first.where(LINK).select("a", "b").unionByName(second.where(LINK).select("a", "b")), "links")
@@ -308,9 +330,10 @@ def join_documents(docs: DataFrame) -> DataFrame:
     base = staged(docs.select("doc_id", F.xxhash64(text).alias("h"), F.crc32(F.encode(text, "UTF-8")).alias("c"), F.length(text).alias("l"), (F.length(F.trim(text)) > 0).alias("full")), "texts-by-hash")
     same = base.where("doc_id is not null and full").groupBy("h", "c", "l").agg(F.min("doc_id").alias("rep"))
     reps = docs.select("doc_id", text.alias("text")).join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    active = members(reps)
-    links = set_links(active, docs)
-    drop_staged(active)
+    cold, active = met(reps)
+    links = set_links(cold, active, docs)
+    for t in (cold, active):
+        drop_staged(t)
     # copies link too, unless they hold no word: sizes tell
     sizes = staged(count_shingles(docs), "sizes")
     copies = base.where("full").join(same, ["h", "c", "l"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
