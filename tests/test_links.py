@@ -19,7 +19,9 @@ def ids(spark, d):
 TRUTH = {"A": ["S2-X"], "B": [], "C": [], "D": ["S2-A", "S3-B"], "E": ["S3-Q"]}
 PRED = {"A": ["S2-X"], "B": [], "C": ["S3-Z"], "D": ["S2-A"], "E": ["S2-W"]}
 CAND = {"A": ["S2-X"], "B": [], "C": ["S3-Z"], "D": ["S2-A", "S3-B"], "E": ["S2-W"]}
-SOURCE = F.substring("target", 1, 2)
+def source():
+    return F.substring("target", 1, 2)
+
 
 
 @pytest.mark.parametrize("truth, told, expected", [(["a"], ["a", "x"], 5 / 9), (["a", "b"], ["a"], 5 / 6), ([], [], 1), ([], ["x"], 0), (["x"], [], 0)])
@@ -35,7 +37,7 @@ def test_macro_report(spark):
 
 
 def test_candidate_diagnostics(spark):
-    r = {x.source: x for x in M.candidate_diagnostics(links(spark, TRUTH), links(spark, PRED), links(spark, CAND), SOURCE).collect()}
+    r = {x.source: x for x in M.candidate_diagnostics(links(spark, TRUTH), links(spark, PRED), links(spark, CAND), source()).collect()}
     assert r["S2"].candidate_recall == 1 and r["S3"].candidate_recall == 0.5
     assert sum(x.blocking_misses for x in r.values()) == 1 and sum(x.model_misses for x in r.values()) == 1
 
