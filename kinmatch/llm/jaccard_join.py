@@ -19,8 +19,12 @@ and its hot signatures are not needed. The hot signatures of the other sets
 are looked at among these sets alone, and no such group is expanded into all
 its pairs: its members are compared with its smallest one (a star), the links
 found are merged into components, and only members of another component than
-the pivot's meet the rest of the group, where pairs must again share more
-signatures, hot and cold, than differences can leave.
+the pivot's meet the rest of the group. They meet by prefixes: sets are split
+by ranges of |A| + |B|, which tell how many signatures a link must share; with
+its hot signatures ordered from rare to frequent, a set needs only so many of
+the first that no link can miss them all, none at all if its cold ones are too
+many. What a pair shares there and what can follow bounds what it shares, and
+that must again be more than differences can leave.
 
 Candidates are verified on the whole texts. Exact copies are reduced to one
 representative first.
@@ -38,7 +42,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, clean_text, drop_staged, partitions, staged, table
@@ -50,6 +54,8 @@ RATIO = 1.4
 #: Below this K every shingle is a partition of its own; from it on, partitions are hashed.
 FINE = 150
 FINE_SPACE, EMPTY_LEVEL = 0, 2
+#: Ranges of |A| + |B| for prefixes end at this multiple of their start.
+SUM_RATIO = 1.03
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _STIR = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -294,9 +300,33 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 LINK = "100 * inter >= 75 * joint"
 
 
+def _range(total: Column) -> Column:
+    """The number of the range that holds a sum |A| + |B|."""
+    return F.floor(F.log(total) / float(np.log(SUM_RATIO)))
+
+
+def _prefixes(told: DataFrame) -> DataFrame:
+    """The hot signatures that an entry needs for each range of |A| + |B|, with their place among all its hot ones (from 1)."""
+    order = Window.partitionBy("entry").orderBy("members", "sig")
+    told = told.withColumns({"place": F.row_number().over(order), "hot": F.count("*").over(Window.partitionBy("entry"))})
+    ends = F.array(*[F.lit(int(x)) for x in GRID])
+    end, before = F.element_at(ends, F.expr("space div 4 + 1").cast("int")), F.element_at(ends, F.expr("greatest(space div 4, 1)").cast("int"))
+    fine = F.col("space") == FINE_SPACE
+    # a pair is looked for in its own band only; all of a fine set's signatures are full, and none of an empty part's
+    told = told.withColumn("full", F.when(fine, F.col("n")).when(F.expr(f"space % 4 = {EMPTY_LEVEL}"), 0).otherwise(F.col("margin") + end + 1))
+    least = F.greatest(F.expr("n + (3 * n + 3) div 4"), F.when(fine, 0).otherwise(7 * before + 7))
+    most = F.least(F.expr("n + 4 * n div 3"), F.when(fine, 7 * int(GRID[GRID < FINE][-1]) + 6).otherwise(7 * end + 6))
+    told = told.withColumns({"least": least, "most": most}).where("least <= most")
+    told = told.withColumn("range", F.explode(F.sequence(_range(F.col("least")), _range(F.col("most")))))
+    # one less and one more than the range's ends, for rounding
+    start, stop = F.floor(F.pow(F.lit(SUM_RATIO), F.col("range"))) - 1, F.ceil(F.pow(F.lit(SUM_RATIO), F.col("range") + 1)) + 1
+    shared = F.when(fine, F.ceil(3 * F.greatest(start, F.col("least")) / 7)).otherwise(F.col("full") - F.floor(F.least(stop, F.col("most")) / 7))
+    return told.where(F.col("place") <= F.col("hot") - F.greatest(shared, F.lit(1)) + 1).drop("least", "most", "margin", "members")
+
+
 def set_links(cold: DataFrame, active: DataFrame, docs: DataFrame) -> DataFrame:
     """Edges (a, b) whose components are those of all links between sets, from what `met` returns. Staged."""
-    pivots = active.groupBy("sig").agg(F.min(F.struct("doc", "margin", "cold", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("sig", F.col("p.doc").alias("p"), *[F.col(f"p.{c}").alias(f"{c}_p") for c in ("margin", "cold", "n")])
+    pivots = active.groupBy("sig").agg(F.min(F.struct("doc", "margin", "cold", "n")).alias("p"), F.count("*").alias("members")).where("members > 1").select("sig", "members", F.col("p.doc").alias("p"), *[F.col(f"p.{c}").alias(f"{c}_p") for c in ("margin", "cold", "n")])
     starred = staged(active.join(pivots, "sig"), "starred")
     # a pair of a star may share further signatures in groups of another pivot: half of what a link needs will do here
     stars = starred.where(f"doc <> p and (space <> {FINE_SPACE} or 7 * (cold + cold_p) <= n + n_p)").groupBy("p", "entry", "doc", "space").agg(F.count("*").alias("c"), F.max(F.greatest("margin_p", "margin")).alias("m"), F.max(F.col("n") + F.col("n_p")).alias("nn"))
@@ -309,12 +339,15 @@ def set_links(cold: DataFrame, active: DataFrame, docs: DataFrame) -> DataFrame:
     label = merged.select(F.col("vertex").alias("doc"), F.col("component").alias("label"))
     told = starred.join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     told = told.join(label.select(F.col("doc").alias("p"), F.col("label").alias("home")), "p", "left").withColumn("home", F.coalesce("home", "p"))
-    told = staged(told.select("sig", "entry", "doc", "n", "space", "margin", "cold", "label", (F.col("label") != F.coalesce("home", "p")).alias("away")), "told")
-    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("entry", "doc", "n", "margin", "cold", "label", "away")]
-    met_ = told.where("away").select("sig", "space", *side("x")).join(told.select("sig", *side("y")), "sig")
+    told = told.select("sig", "members", "entry", "doc", "n", "space", "margin", "cold", "label", (F.col("label") != F.coalesce("home", "p")).alias("away"))
+    told = staged(_prefixes(told), "told")
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("entry", "doc", "n", "full", "cold", "label", "away", "place", "hot")]
+    met_ = told.where("away").select("sig", "range", "space", *side("x")).join(told.select("sig", "range", *side("y")), ["sig", "range"])
+    met_ = met_.where(_range(F.col("n_x") + F.col("n_y")) == F.col("range"))
     met_ = met_.where(f"label_x <> label_y and (not away_y or doc_x < doc_y) and 4 * least(n_x, n_y) >= 3 * greatest(n_x, n_y) and (space <> {FINE_SPACE} or 7 * (cold_x + cold_y) <= n_x + n_y)")
-    more = met_.groupBy("entry_x", "entry_y", "doc_x", "doc_y", "space").agg(F.count("*").alias("c"), F.max(F.greatest("margin_x", "margin_y")).alias("m"), F.max(F.col("n_x") + F.col("n_y")).alias("nn"))
-    more = more.where(f"case when space = {FINE_SPACE} then 7 * c >= 3 * nn else c > m end")
+    shared = F.when(F.col("space") == FINE_SPACE, F.expr("(3 * (n_x + n_y) + 6) div 7")).otherwise(F.expr("greatest(full_x, full_y) - (n_x + n_y) div 7"))
+    more = met_.withColumn("shared", F.greatest(shared, F.lit(1))).groupBy("entry_x", "entry_y", "doc_x", "doc_y", "hot_x", "hot_y", "shared").agg(F.count("*").alias("c"), F.max("place_x").alias("x"), F.max("place_y").alias("y"))
+    more = more.where("c + least(hot_x - x, hot_y - y) >= shared")
     more = more.select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).distinct()
     more = staged(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     second = verify(more, docs)
