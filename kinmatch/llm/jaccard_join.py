@@ -346,9 +346,12 @@ def set_links(cold: DataFrame, active: DataFrame, docs: DataFrame) -> DataFrame:
     met_ = met_.where(_range(F.col("n_x") + F.col("n_y")) == F.col("range"))
     met_ = met_.where(f"label_x <> label_y and (not away_y or doc_x < doc_y) and 4 * least(n_x, n_y) >= 3 * greatest(n_x, n_y) and (space <> {FINE_SPACE} or 7 * (cold_x + cold_y) <= n_x + n_y)")
     shared = F.when(F.col("space") == FINE_SPACE, F.expr("(3 * (n_x + n_y) + 6) div 7")).otherwise(F.expr("greatest(full_x, full_y) - (n_x + n_y) div 7"))
-    more = met_.withColumn("shared", F.greatest(shared, F.lit(1))).groupBy("entry_x", "entry_y", "doc_x", "doc_y", "hot_x", "hot_y", "shared").agg(F.count("*").alias("c"), F.max("place_x").alias("x"), F.max("place_y").alias("y"))
-    more = more.where("c + least(hot_x - x, hot_y - y) >= shared")
-    more = more.select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).distinct()
+    # either set of a pair may be the one that is away, from signature to signature: one order for all of them
+    turned = [F.when(F.col("doc_x") < F.col("doc_y"), F.col(f"{c}_{i}")).otherwise(F.col(f"{c}_{j}")).alias(f"{c}_{k}") for c in ("entry", "doc", "hot", "place") for i, j, k in (("x", "y", "a"), ("y", "x", "b"))]
+    more = met_.select(F.greatest(shared, F.lit(1)).alias("shared"), *turned)
+    more = more.groupBy("entry_a", "entry_b", "doc_a", "doc_b", "hot_a", "hot_b", "shared").agg(F.count("*").alias("c"), F.max("place_a").alias("x"), F.max("place_b").alias("y"))
+    more = more.where("c + least(hot_a - x, hot_b - y) >= shared")
+    more = more.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
     more = staged(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     second = verify(more, docs)
     out = staged(first.where(LINK).select("a", "b").unionByName(second.where(LINK).select("a", "b")), "links")

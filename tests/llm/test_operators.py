@@ -319,6 +319,21 @@ def test_join_equals_brute_force_on_edited_copies_and_shared_passages(spark, see
     assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute(dict(rows))
 
 
+def test_join_loses_no_link_among_many_copies_near_the_threshold(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    base, rows = [word() for _ in range(150)], []
+    swaps = [(i, word()) for i in range(0, 150, 5)]
+    for i in range(400):
+        w = base[:]
+        for at, new in rng.sample(swaps, rng.randint(0, 9)):
+            w[at] = new
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute(dict(rows))
+
+
 def test_similar_sets_share_signatures_beyond_their_slack():
     rng = np.random.default_rng(0)
     for n in (4, 9, 25, 60, 300, 2000):
