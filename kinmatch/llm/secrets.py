@@ -1,12 +1,14 @@
 """Secret scan with a recursive decoding worklist.
 
 Every text is scanned for secrets (fixed patterns below). Encoded segments are
-then unwrapped: runs with percent escapes, runs with \\u or \\x escapes, base64
-runs, and compressed bytes (gzip, zlib, bzip2, xz) inside them. A decoded layer
-keeps, for each of its characters, the span of the base text that it came
-from; it is scanned by the same patterns and unwrapped again, until nothing new
-comes up. Layers already seen in the document are not taken twice, which ends
-cycles. What is found in a layer is told by its span in the base text.
+then unwrapped: percent escapes and \\u or \\x escapes (in each run and in the
+whole text), base64 runs, and compressed bytes (gzip, zlib, bzip2, xz) that
+start anywhere in the bytes of these. Bytes that are not UTF-8 stay as single
+characters. A decoded layer keeps, for each of its characters, the span of the
+base text that it came from; it is scanned by the same patterns and unwrapped
+again, until nothing new comes up. Layers already seen in the document are not
+taken twice, which ends cycles. What is found in a layer is told by its span in
+the base text.
 
 Decompressed layers are read up to LAYER_BYTES (a guard against bombs; the base
 text itself has no bound). Nulls and empty texts hold nothing. Repeated rows
@@ -19,9 +21,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
-import gzip
 import hashlib
-import io
 import lzma
 import re
 import zlib
@@ -40,10 +40,17 @@ KINDS = ("assign", "access", "hex")
 LAYER_BYTES = 64 << 20
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORD = re.compile(r"(?ai:passw|secret|token|api_?key)")
-_PERCENT = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
-_ESCAPE = re.compile(r"[^\s]*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s]*")
+_RUN = re.compile(r"[^\s\"'<>]+")
+_PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
+_WORD = re.compile(r"[^\s]+")
 _ESCAPED = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+_LITERAL = re.compile(_ESCAPED.pattern + r"|\\([abfnrtv\\'\"/0])")
+_SHORT = dict(zip("abfnrtv\\'\"/0", "\a\b\f\n\r\t\v\\'\"/\0", strict=True))
+_BYTES = re.compile(r"[\x00-\xff]{8,}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: How gzip, bzip2, xz and zlib (any window, no preset dictionary) start.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|" + b"|".join(re.escape(bytes([c, f])) for c in range(8, 128, 16) for f in range(256) if (c * 256 + f) % 31 == 0 and not f & 32))
+_STRAY = {0xDC00 + i: i for i in range(128, 256)}
 
 Layer = tuple[str, list[int], list[int]]
 
@@ -59,95 +66,140 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _url(s: str, starts: list[int], ends: list[int]) -> Layer | None:
-    """Percent escapes decoded as UTF-8, each character with the span of its escapes."""
-    data, first, last, i = bytearray(), [], [], 0
-    while i < len(s):
-        if s[i] == "%" and re.match("[0-9A-Fa-f]{2}", s[i + 1 : i + 3]):
-            data.append(int(s[i + 1 : i + 3], 16))
-            first.append(starts[i])
-            last.append(ends[i + 2])
-            i += 3
-        else:
-            for b in s[i].encode("utf-8", "surrogatepass"):
-                data.append(b)
-                first.append(starts[i])
-                last.append(ends[i])
-            i += 1
-    return _text(bytes(data), first, last)
+def _url(s: str, starts, ends):
+    """Percent escapes decoded as UTF-8, each character with the span of its escapes; then what is compressed in the bytes."""
+    data, first, last, at, spaces = bytearray(), [], [], 0, []
 
+    def plain(a: int, b: int) -> None:
+        for c, f, g in zip(s[a:b], starts[a:b], ends[a:b], strict=True):
+            coded = c.encode("utf-8", "surrogatepass")
+            if c == "+":
+                spaces.append(len(data))
+            data.extend(coded)
+            first.extend([f] * len(coded))
+            last.extend([g] * len(coded))
 
-def _unicode(s: str, starts: list[int], ends: list[int]) -> Layer | None:
-    out, first, last, at = [], [], [], 0
-    for m in _ESCAPED.finditer(s):
-        for i in range(at, m.start()):
-            out.append(s[i])
-            first.append(starts[i])
-            last.append(ends[i])
-        out.append(chr(int(m[1] or m[2], 16)))
+    for m in _PERCENT.finditer(s):
+        plain(at, m.start())
+        data.append(int(m[1], 16))
         first.append(starts[m.start()])
         last.append(ends[m.end() - 1])
         at = m.end()
-    for i in range(at, len(s)):
-        out.append(s[i])
-        first.append(starts[i])
-        last.append(ends[i])
-    return "".join(out), first, last
-
-
-def _text(data: bytes, first: list[int], last: list[int]) -> Layer | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+    if not at:
+        return
+    plain(at, len(s))
+    yield _text(bytes(data), first, last)
+    yield from _packed(bytes(data), first, last)
+    if spaces:  # forms write a space as +
+        for i in spaces:
+            data[i] = 32
+        yield from _packed(bytes(data), first, last)
+
+
+def _unicode(s: str, starts, ends):
+    """\\u and \\x escapes decoded, then what is compressed in characters below 256 (also with the short escapes of literals)."""
+    if not _ESCAPED.search(s):
+        return
+    for pattern in (_ESCAPED, _LITERAL):
+        out, first, last, at = [], [], [], 0
+        for m in pattern.finditer(s):
+            out.append(s[at : m.start()])
+            first.extend(starts[at : m.start()])
+            last.extend(ends[at : m.start()])
+            code = m[1] or m[2]
+            out.append(chr(int(code, 16)) if code else _SHORT[m[3]])
+            first.append(starts[m.start()])
+            last.append(ends[m.end() - 1])
+            at = m.end()
+        text = "".join(out) + s[at:]
+        first.extend(starts[at:])
+        last.extend(ends[at:])
+        if pattern is _ESCAPED:
+            yield text, first, last
+        for m in _BYTES.finditer(text):
+            a, b = m.span()
+            yield from _packed(m[0].encode("latin-1"), first[a:b], last[a:b])
+
+
+def _text(data: bytes, first: list[int], last: list[int]) -> Layer:
+    """`data` as UTF-8; bytes that are not UTF-8 stay, each as the character of its number."""
+    text = data.decode("utf-8", "surrogateescape")
     if len(text) == len(data):
-        return text, first, last
+        return text.translate(_STRAY), first, last
     a, b, i = [], [], 0
     for c in text:
-        n = len(c.encode("utf-8"))
+        n = 1 if "\udc80" <= c <= "\udcff" else len(c.encode("utf-8"))
         a.append(first[i])
         b.append(last[i + n - 1])
         i += n
-    return text, a, b
-
-
-def _unpacked(data: bytes) -> bytes | None:
-    """Decompressed bytes where `data` starts as gzip, bzip2, xz or zlib do."""
+    return text.translate(_STRAY), a, b
+
+
+def _unpacked(data: memoryview) -> tuple[bytes, int, bool]:
+    """What the stream at the start of `data` holds, as far as it can be read, the bytes it takes, and whether it is whole."""
+    if data[:2] == b"\x1f\x8b":
+        reader = zlib.decompressobj(31)
+    elif data[:3] == b"BZh":
+        reader = bz2.BZ2Decompressor()
+    elif data[:1] == b"\xfd":
+        reader = lzma.LZMADecompressor()
+    else:
+        reader = zlib.decompressobj()
+    out, at = bytearray(), 0
     try:
-        if data[:2] == b"\x1f\x8b":
-            return gzip.GzipFile(fileobj=io.BytesIO(data)).read(LAYER_BYTES)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, LAYER_BYTES)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, LAYER_BYTES)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, LAYER_BYTES)
+        while at < len(data) and not reader.eof and len(out) < LAYER_BYTES:  # in steps, so that bytes before a fault are kept
+            step = data[at : at + 256]
+            at += len(step)
+            out += reader.decompress(step, LAYER_BYTES - len(out))
     except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
-        return None
-    return None
+        return bytes(out), at, False
+    return bytes(out), at - len(reader.unused_data), reader.eof
+
 
+def _packed(data: bytes, first: list[int], last: list[int], end: int | None = None):
+    """The layers of the compressed streams that start anywhere in `data`, and of those inside them.
 
-def _base64(s: str, starts: list[int], ends: list[int]) -> Layer | None:
+    Their characters have the span of the stream; `end` is where a stream ends that takes `data` to its last byte.
+    """
+    work, seen = [(data, None)], set()
+    while work:
+        now, span = work.pop()
+        at = 0
+        while (m := _MAGIC.search(now, at)) is not None:
+            out, used, whole = _unpacked(memoryview(now)[m.start() :])
+            stop = m.start() + used
+            at = stop if whole else m.start() + 1
+            key = hashlib.blake2b(out, digest_size=16).digest()
+            if not out or key in seen:
+                continue
+            seen.add(key)
+            a, b = span or (first[m.start()], last[stop - 1] if stop < len(data) or end is None else end)
+            yield _text(out, [a] * len(out), [b] * len(out))
+            work.append((out, (a, b)))
+
+
+def _base64(s: str, starts, ends):
     body = s.rstrip("=").translate({45: 43, 95: 47})
     if len(body) % 4 == 1:
-        return None
+        return
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None
-    whole = (starts[0], ends[-1])
-    rounds = 0
-    while (more := _unpacked(data)) is not None and rounds < 16 and more != data:
-        data, rounds = more, rounds + 1
-    if rounds:
-        return _text(data, [whole[0]] * len(data), [whole[1]] * len(data))
-    if sum(b < 9 or 13 < b < 32 or b == 127 for b in data):
-        return None
+        return
     place = [i // 3 * 4 + i % 3 for i in range(len(data))]
-    return _text(data, [starts[p] for p in place], [ends[min(p + 1, len(s) - 1)] for p in place])
+    first, last = [starts[p] for p in place], [ends[min(p + 1, len(s) - 1)] for p in place]
+    yield from _packed(data, first, last, ends[-1])
+    if sum(b < 9 or 13 < b < 32 or b == 127 for b in data):
+        return
+    try:
+        data.decode("utf-8")
+    except UnicodeDecodeError:
+        return
+    yield _text(data, first, last)
 
 
-DECODERS = ((_PERCENT, "%", _url), (_ESCAPE, "\\", _unicode), (_BASE64, "", _base64))
+#: (runs, what they hold, decoder, whether the whole text is decoded as well: a secret may go beyond the run of its escapes).
+DECODERS = ((_RUN, "%", _url, True), (_WORD, "\\", _unicode, True), (_BASE64, "", _base64, False))
 
 
 def layers(text: str):
@@ -156,20 +208,22 @@ def layers(text: str):
     seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
     while work:
         now, starts, ends = work.pop()
-        for pattern, needs, decode in DECODERS:
+        for pattern, needs, decode, whole in DECODERS:
             if needs and needs not in now:
                 continue
-            for m in pattern.finditer(now):
-                a, b = m.span()
-                at = (list(range(a, b)), list(range(a + 1, b + 1))) if starts is None else (starts[a:b], ends[a:b])
-                layer = decode(m[0], *at)
-                if layer is None or not layer[0] or layer[0] == m[0]:
+            for a, b in [(0, len(now))] * whole + [m.span() for m in pattern.finditer(now)]:
+                run = now[a:b]
+                if needs not in run:
                     continue
-                key = hashlib.blake2b(f"{layer[1][0]}:{layer[2][-1]}:{layer[0]}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                if key not in seen:
-                    seen.add(key)
-                    work.append(layer)
-                    yield layer
+                at = (range(a, b), range(a + 1, b + 1)) if starts is None else (starts[a:b], ends[a:b])
+                for layer in decode(run, *at):
+                    if not layer[0] or layer[0] == run:
+                        continue
+                    key = hashlib.blake2b(f"{layer[1][0]}:{layer[2][-1]}:{layer[0]}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    if key not in seen:
+                        seen.add(key)
+                        work.append(layer)
+                        yield layer
 
 
 def secrets(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

@@ -1,6 +1,8 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -180,6 +182,18 @@ def test_secrets_base_and_layers():
         assert "hunter2" not in secrets.redacted(f"foo {coded} bar") and secrets.redacted(f"foo {coded} bar").startswith("foo [SECRET]")
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_secrets_in_stray_and_compressed_bytes_of_escapes(pack):
+    told = lambda t: [t[a:b] for a, b, _ in secrets.secrets(t)[1]]
+    assert told("http://x.org/?q=caf%E9&token%3Dabcdef123 y") == ["token%3Dabcdef123"] == told("http://x.org/?q=caf%C3%A9&token%3Dabcdef123 y")
+    assert told("token: %61bcdef%FF") == ["token: %61bcdef"]
+    data = pack(b"password=hunter2secret and more words")
+    for coded in ("".join(f"%{b:02X}" for b in data), urllib.parse.quote(data), urllib.parse.quote_plus(data), "".join(f"\\x{b:02x}" for b in data), "".join(f"\\u{b:04x}" for b in data), repr(data)[2:-1], urllib.parse.quote(pack(data))):
+        text = f"foo http://x.org/?q={coded}&r=%20 bar"
+        spans = secrets.secrets(text)[1]
+        assert spans and spans[0][0] == 20 and all(kind == "assign" and 20 <= a < b <= 20 + len(coded) for a, b, kind in spans)
+
+
 def test_decoding_ends():
     text = "%25" * 3000 + " " + base64.b64encode(b"A" * 3000).decode()
     assert secrets.secrets(text)[0] == []
