@@ -2,7 +2,8 @@
 
 Every text is scanned for secrets (fixed patterns below). Encoded segments are
 then unwrapped: percent escapes and \\u or \\x escapes (in each run and in the
-whole text), base64 runs, and compressed bytes (gzip, zlib, bzip2, xz) that
+whole text), base64 runs (at the four alignments, every stretch that reads as
+text), and compressed bytes (gzip, zlib, bzip2, xz) that
 start anywhere in the bytes of these. Bytes that are not UTF-8 stay as single
 characters. A decoded layer keeps, for each of its characters, the span of the
 base text that it came from; it is scanned by the same patterns and unwrapped
@@ -18,7 +19,6 @@ table gives no row. Further columns are kept by `redact`, passed by otherwise.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -48,6 +48,9 @@ _LITERAL = re.compile(_ESCAPED.pattern + r"|\\([abfnrtv\\'\"/0])")
 _SHORT = dict(zip("abfnrtv\\'\"/0", "\a\b\f\n\r\t\v\\'\"/\0", strict=True))
 _BYTES = re.compile(r"[\x00-\xff]{8,}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_URLSAFE = {45: 43, 95: 47}
+#: Bytes that read as text, as long as the shortest secret at least (token=abcdef); secrets have ASCII characters only.
+_READABLE = re.compile(rb"(?:[\t-\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
 #: How gzip, bzip2, xz and zlib (any window, no preset dictionary) start.
 _MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|" + b"|".join(re.escape(bytes([c, f])) for c in range(8, 128, 16) for f in range(256) if (c * 256 + f) % 31 == 0 and not f & 32))
 _STRAY = {0xDC00 + i: i for i in range(128, 256)}
@@ -179,23 +182,21 @@ def _packed(data: bytes, first: list[int], last: list[int], end: int | None = No
 
 
 def _base64(s: str, starts, ends):
-    body = s.rstrip("=").translate({45: 43, 95: 47})
-    if len(body) % 4 == 1:
-        return
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return
-    place = [i // 3 * 4 + i % 3 for i in range(len(data))]
-    first, last = [starts[p] for p in place], [ends[min(p + 1, len(s) - 1)] for p in place]
-    yield from _packed(data, first, last, ends[-1])
-    if sum(b < 9 or 13 < b < 32 or b == 127 for b in data):
-        return
-    try:
-        data.decode("utf-8")
-    except UnicodeDecodeError:
-        return
-    yield _text(data, first, last)
+    """What is readable, or compressed, in the bytes of `s` at each of the four alignments.
+
+    A blob that / - or _ joins to words stands at one of these, and ends exactly: after it, the bits of / - _ make
+    a byte that no secret has (0x0F, > or ?, or one that is not UTF-8), so the run need not be split there as well.
+    """
+    body = s.rstrip("=")
+    for k in range(4):
+        b = len(body) - ((len(body) - k) % 4 == 1)  # a lone last character has no whole byte
+        data = binascii.a2b_base64(body[k:b].translate(_URLSAFE) + "=" * ((k - b) % 4))
+        for m in _READABLE.finditer(data):
+            at = [k + i // 3 * 4 + i % 3 for i in range(*m.span())]
+            yield _text(m[0], [starts[p] for p in at], [ends[p + 1] for p in at])
+        if _MAGIC.search(data):
+            at = [k + i // 3 * 4 + i % 3 for i in range(len(data))]
+            yield from _packed(data, [starts[p] for p in at], [ends[p + 1] for p in at], ends[-1] if b == len(body) else None)
 
 
 #: (runs, what they hold, decoder, whether the whole text is decoded as well: a secret may go beyond the run of its escapes).

@@ -194,6 +194,18 @@ def test_secrets_in_stray_and_compressed_bytes_of_escapes(pack):
         assert spans and spans[0][0] == 20 and all(kind == "assign" and 20 <= a < b <= 20 + len(coded) for a, b, kind in spans)
 
 
+def test_secrets_in_base64_at_any_alignment_and_beside_unreadable_bytes():
+    b64 = lambda x: base64.b64encode(x).decode()
+    inner = b"password=hunter2secret"
+    assert secrets.told(secrets.secrets("x.org/cb/cGFzc3dvcmQ9aHVudGVyMnNlY3JldA==")[1]) == "assign:9:39"
+    for lead in ("", "a", "ab", "abc", "cb/", "org/cb/", "id_", "id-", "key-x_", "a/b/c/d/"):
+        for end in ("", "/more/path", "-x", " y"):
+            for data in (inner, gzip.compress(inner), b"\x00\x01" + inner + b" \xff\x07", b"caf\xe9 " + inner + b"\x00"):
+                coded = b64(data).rstrip("=") if end[:1] != " " else b64(data)
+                spans = secrets.secrets(f"see {lead}{coded}{end}")[1]
+                assert any(kind == "assign" and 4 + len(lead) <= a < b <= 4 + len(lead) + len(coded) for a, b, kind in spans), (lead, end, data)
+
+
 def test_decoding_ends():
     text = "%25" * 3000 + " " + base64.b64encode(b"A" * 3000).decode()
     assert secrets.secrets(text)[0] == []
