@@ -1,7 +1,8 @@
 """Personal data by candidate gradient boosting, in SQL functions only.
 
 Base spans follow the fixed patterns of the contract. High-recall generators
-then propose further, overlapping spans: numbers written with other marks,
+then propose further, overlapping spans: numbers written with other marks (every
+window of neighbouring groups of digits),
 spelled-out email addresses, addresses with spaced or bracketed dots. Each
 proposal is scored by boosted trees on its format and its context; those above
 the calibrated threshold of their kind that overlap no base span are added.
@@ -11,8 +12,9 @@ labelled examples below (a formula makes them; all words and digits are
 invented), calibrated by a logistic curve on a held-out part, and written out
 as CASE expressions.
 
-Nulls and empty texts hold nothing. Overlapping proposals are all told, equal
-ones of a kind once. Repeated rows are scanned by themselves. An empty table
+Nulls and empty texts hold nothing. Of overlapping proposals of one kind the
+trees choose the one with the highest odds; spans of different kinds may
+overlap. Repeated rows are scanned by themselves. An empty table
 gives no row. Further columns are passed by.
 """
 
@@ -36,12 +38,16 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: The generators; each proposes spans of the kinds named.
+#: The generators; each proposes spans of the kinds named. Of a whole row of numbers, or of a chain of octets, all
+#: windows of neighbouring groups are proposed that have the digits, or the number of groups, of the kind.
 LOOSE = {
-    "number": r"[+(]?[0-9](?:[ ().\-]{0,2}[0-9]){6,24}",
+    "number": r"[+(]?[0-9](?:[ ().\-]{0,2}[0-9])++",
     "address": r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]{1,64}(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]{2,32}){1,4}",
-    "quad": r"[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?[0-9]{1,3}){3}",
+    "quad": r"[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?[0-9]{1,3}){3,}+",
 }
+GROUP = {"number": "[+(]?[0-9]+", "quad": "[0-9]{1,3}"}
+#: Fewest and most digits, fewest and most groups. Cards have 12 to 19 digits; phone numbers 7 without an area, 15 with 00 before them 17.
+WINDOW = {"card": (12, 19, 1, 25), "phone": (7, 17, 1, 25), "ip": (4, 12, 4, 4)}
 PROPOSES = {"email": "address", "ip": "quad", "card": "number", "phone": "number"}
 CUES = {
     "email": r"(?:mail|contact|write|reach|address|from|to)\W*$",
@@ -82,6 +88,15 @@ def feature_columns(kind: str, before: Column, m: Column, after: Column) -> list
     ]
 
 
+def edges(m: str) -> list[int]:
+    """Digits of the first and the last group, further features of the trees that choose; `edge_columns` is the same in SQL."""
+    return [len(re.match("[^0-9]*([0-9]*)", m)[1]), len(re.search("[0-9]*$", m)[0])]
+
+
+def edge_columns(m: Column) -> list[Column]:
+    return [F.length(F.regexp_extract(m, "^[^0-9]*([0-9]*)", 1)), F.length(F.regexp_extract(m, "[0-9]*$", 0))]
+
+
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes Luhn's check."""
     n = F.length(digits)
@@ -128,6 +143,41 @@ def examples(kind: str, n: int = 400) -> list[tuple[str, str, str, int]]:
     return out
 
 
+def row_examples(kind: str, n: int = 60) -> list[tuple[str, str, str, int]]:
+    """Labelled windows of rows of card and phone numbers, by a seeded formula: the numbers of `kind`, and for each three windows that cut or join numbers."""
+    rng = random.Random(f"rows-{kind}")
+    of = {k: [e for e in examples(k) if e[3]] for k in ("card", "phone")}
+
+    def number(k: str) -> str:
+        """A card number of any length there is, or a phone number of the examples."""
+        if k == "phone":
+            return rng.choice(of[k])[1]
+        size = rng.choice([12, 13, 14, 15, 16, 16, 16, 17, 18, 19])
+        d = "".join(rng.choice("0123456789") for _ in range(size - 1))
+        d += next(c for c in "0123456789" if _luhn(d + c))
+        cuts = [0, 4, 10, size] if size in (14, 15) and rng.random() < 0.7 else [*range(0, size, 4), size]
+        return rng.choice([".", "  ", ". ", ".", " ."]).join(d[i:j] for i, j in zip(cuts, cuts[1:], strict=False))
+
+    out = []
+    for _ in range(n):
+        lead, row = rng.choice(of[kind])[0], number(kind)
+        true = [(0, len(row))]
+        for _ in range(rng.randint(1, 3)):
+            k = rng.choice(["card", "phone"])
+            row += rng.choice([" ", " ", "  ", " - "[1:], ". "])
+            m = number(k)
+            if k == kind:
+                true.append((len(row), len(row) + len(m)))
+            row += m
+        groups = [m.span() for m in re.finditer(GROUP["number"], row)]
+        low, high, *_ = WINDOW[kind]
+        spans = [(a, b) for i, (a, _) in enumerate(groups) for _, b in groups[i:] if low <= len(re.sub("[^0-9]", "", row[a:b])) <= high]
+        cut = [x for x in spans if x not in true]
+        for a, b in true + rng.sample(cut, min(len(cut), 3 * len(true))):
+            out.append((lead + row[a - 1 : a] if a else lead, row[a:b], row[b : b + 1], int((a, b) in true)))
+    return out
+
+
 Tree = tuple[int, float, tuple[int, float, float, float], tuple[int, float, float, float]]
 
 
@@ -135,7 +185,7 @@ def _stump(rows: list[list[int]], slip: list[float], hess: list[float], at: list
     """(feature, cut, left, right, gain) of the best split `feature <= cut` of the rows `at`."""
     g, h = sum(slip[i] for i in at), sum(hess[i] for i in at)
     best = (0, -1.0, -g / (h + 1), -g / (h + 1), 0.0)
-    for f in range(len(FEATURES)):
+    for f in range(len(rows[0])):
         sums: dict[int, list[float]] = {}
         for i in at:
             s = sums.setdefault(rows[i][f], [0.0, 0.0])
@@ -161,7 +211,17 @@ def _leaf(tree: Tree, x: list[int]) -> float:
 def boosted(kind: str, rounds: int = 24, rate: float = 0.3) -> tuple[tuple[Tree, ...], float, float]:
     """Trees, and scale and shift of the calibrated log odds."""
     made = examples(kind)
-    rows, y = [features(kind, *e[:3]) for e in made], [e[3] for e in made]
+    return _boosted([features(kind, *e[:3]) for e in made], [e[3] for e in made], rounds, rate)
+
+
+@cache
+def choosing(kind: str, rounds: int = 24, rate: float = 0.3) -> tuple[tuple[Tree, ...], float, float]:
+    """The same for the choice among overlapping windows of a row of numbers: fitted on windows as well, with their edges as features."""
+    made = examples(kind) + (row_examples(kind) if PROPOSES[kind] == "number" else [])
+    return _boosted([features(kind, *e[:3]) + edges(e[1]) for e in made], [e[3] for e in made], rounds, rate)
+
+
+def _boosted(rows: list[list[int]], y: list[int], rounds: int, rate: float) -> tuple[tuple[Tree, ...], float, float]:
     fit, held = [i for i in range(len(y)) if i % 10 < 7], [i for i in range(len(y)) if i % 10 >= 7]
     z, trees = [0.0] * len(y), []
     for _ in range(rounds):
@@ -193,10 +253,9 @@ def score(kind: str, before: str, m: str, after: str) -> float:
     return 1 / (1 + math.exp(-(a * sum(_leaf(t, x) for t in trees) + b)))
 
 
-def accepted(kind: str, before: Column, m: Column, after: Column) -> Column:
-    """Whether a proposal is personal data of `kind`, as a SQL expression."""
-    trees, a, b = boosted(kind)
-    x = F.array(*feature_columns(kind, before, m, after))
+def _odds(fitted: tuple[tuple[Tree, ...], float, float], x: list[Column]) -> Column:
+    """The calibrated log odds of the features `x`, as a SQL expression."""
+    trees, a, b = fitted
 
     def summed(xs: Column) -> Column:
         out = F.lit(b)
@@ -205,8 +264,12 @@ def accepted(kind: str, before: Column, m: Column, after: Column) -> Column:
             out = out + F.when(xs[f] <= cut, side[0]).otherwise(side[1])
         return out
 
-    limit = math.log(THRESHOLDS[kind] / (1 - THRESHOLDS[kind]))
-    return F.get(F.transform(F.array(x), lambda xs: summed(xs) >= limit), F.lit(0))
+    return F.get(F.transform(F.array(F.array(*x)), summed), F.lit(0))
+
+
+def accepted(kind: str, before: Column, m: Column, after: Column) -> Column:
+    """Whether a proposal is personal data of `kind`, as a SQL expression."""
+    return _odds(boosted(kind), feature_columns(kind, before, m, after)) >= math.log(THRESHOLDS[kind] / (1 - THRESHOLDS[kind]))
 
 
 SPANS = "array<struct<s:int,e:int,m:string>>"
@@ -258,15 +321,66 @@ def find_pii(docs: DataFrame) -> DataFrame:
     hints = {"number": text.rlike("[0-9](?:[ ().-]{0,2}[0-9]){6}"), "address": text.contains("@") | text.contains("(at)") | text.contains("[at]"), "quad": text.rlike(r"[0-9] ?[.\[(]")}
     df = df.withColumns({f"l_{g}": F.when(hints[g], located(text, LOOSE[g])).otherwise(none) for g in LOOSE})
 
+    def grouped(g: str) -> Column:
+        return F.transform(f"l_{g}", lambda x: F.struct(x["s"].alias("s"), x["m"].alias("m"), located(x["m"], GROUP[g]).alias("g")))
+
+    df = df.withColumns({f"g_{g}": grouped(g) for g in GROUP})
+
+    def lead(s: Column) -> Column:
+        return F.substring(text, F.greatest(s - REACH + 1, F.lit(1)), F.least(s, F.lit(REACH)))
+
+    def windows(kind: str) -> Column:
+        """Every window of an area with the digits and groups of `kind`; what stands before is told of the area, and the mark between."""
+        low, high, few, many = WINDOW[kind]
+        size = lambda w: F.length(F.regexp_replace(w["m"], "[^0-9]", ""))
+
+        def of(x: Column) -> Column:
+            g, last = x["g"], F.size(x["g"]) - 1
+
+            def one(i: Column, j: Column) -> Column:
+                s, e = g[i]["s"], g[j]["e"]
+                before = F.concat(lead(x["s"]), F.when(s > 0, F.substring(x["m"], s, F.lit(1))).otherwise(""))
+                whole = (i == 0) & (j == last)
+                return F.struct((x["s"] + s).alias("s"), (x["s"] + e).alias("e"), F.substring(x["m"], s + 1, e - s).alias("m"), before.alias("before"), whole.alias("whole"))
+
+            # sequence() would count down where an area has too few groups
+            starts = F.filter(F.sequence(F.lit(0), last), lambda i: i + few - 1 <= last)
+            return F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(i + few - 1, F.least(i + many - 1, last)), lambda j: one(i, j))))
+
+        wide = (7, 25) if PROPOSES[kind] == "number" else (low, high)  # a number that stands alone is proposed in any case
+        areas = F.filter(f"g_{PROPOSES[kind]}", lambda x: size(x) >= min(low, wide[0]))
+        return F.filter(F.flatten(F.transform(areas, of)), lambda w: size(w).between(low, high) | (w["whole"] & size(w).between(*wide)))
+
+    def single(kind: str) -> Column:
+        return F.transform(f"l_{PROPOSES[kind]}", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), lead(x["s"]).alias("before"), F.lit(True).alias("whole")))
+
+    df = df.withColumns({f"w_{k}": windows(k) if k in WINDOW else single(k) for k in KINDS})
+
     def free(x: Column) -> Column:
         return ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
 
-    def chosen(kind: str) -> Column:
+    def ranked(kind: str) -> Column:
+        """The accepted proposals of `kind`, best first: by odds, then digits, then length, then place. A part of a row needs even odds as well."""
+
         def good(x: Column) -> Column:
-            before = F.substring(text, F.greatest(x["s"] - REACH + 1, F.lit(1)), F.least(x["s"], F.lit(REACH)))
-            return free(x) & accepted(kind, before, x["m"], F.substring(text, x["e"] + 1, F.lit(1)))
+            return free(x) & accepted(kind, x["before"], x["m"], F.substring(text, x["e"] + 1, F.lit(1)))
+
+        def rank(x: Column) -> Column:
+            z = _odds(choosing(kind), feature_columns(kind, x["before"], x["m"], F.substring(text, x["e"] + 1, F.lit(1))) + edge_columns(x["m"]))
+            digits = F.length(F.regexp_replace(x["m"], "[^0-9]", ""))
+            return F.struct(z.alias("z"), digits.alias("d"), (x["e"] - x["s"]).alias("n"), (-x["s"]).alias("p"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["whole"].alias("whole"))
+
+        return F.sort_array(F.filter(F.transform(F.filter(f"w_{kind}", good), rank), lambda x: x["whole"] | (x["z"] >= 0)), asc=False)
+
+    df = df.withColumns({f"r_{k}": F.when(F.size(f"w_{k}") > 0, ranked(k)) for k in KINDS})
+
+    def chosen(kind: str) -> Column:
+        """The best proposal, then the best of those that do not overlap it, and so on."""
+        def take(acc: Column, x: Column) -> Column:
+            meets = F.exists(acc, lambda k: (k["s"] < x["e"]) & (x["s"] < k["e"]))
+            return F.when(meets, acc).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))))
 
-        return F.filter(F.col(f"l_{PROPOSES[kind]}"), good)
+        return F.coalesce(F.aggregate(f"r_{kind}", none, take), none)
 
     more = [_with_kind(chosen(k), i) for i, k in enumerate(KINDS)]
     df = df.withColumn("spans", F.array_sort(F.array_union("base", F.flatten(F.array(*more)))))

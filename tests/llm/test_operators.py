@@ -434,6 +434,21 @@ def test_pii_adds_what_the_base_misses_and_no_dates(spark):
     assert any(k == 3 for _, k, _ in got[0]) and any(k == 0 for _, k, _ in got[1]) and got[2] == [] and got[3] == []
 
 
+def test_pii_chooses_among_the_windows_of_a_row_of_numbers(spark):
+    rows = {
+        "my card no. 4111.1111.1111.1111 (212) 555-0187 now": ["card 4111.1111.1111.1111"],
+        "call (212) 555-0187 4111.1111.1111.1111 now": ["phone (212) 555-0187"],
+        "cards: visa 4111.1111.1111.1111 5500.0000.0000.0004 3782.8224.6310.005 x": ["card 4111.1111.1111.1111", "card 5500.0000.0000.0004", "card 3782.8224.6310.005"],
+        "phone: 212-555-0187 (212) 555-0188  212.555.0189, ok": ["phone 212-555-0187", "phone (212) 555-0188", "phone 212.555.0189"],
+        "call " + "212-555-0187 " * 40: ["phone 212-555-0187"] * 40,
+        "server: 3. 10[.]0[.]20[.]1 x": ["ip 10[.]0[.]20[.]1"],
+        "9" * 3000 + " " + "1 " * 3000: [],
+    }
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: [f"{pii.KINDS[k]} {list(rows)[r.doc_id][a:b]}" for a, k, b in r.spans] for r in pii.find_pii(df).collect()}
+    assert [got[i] for i in range(len(rows))] == list(rows.values())
+
+
 @pytest.mark.parametrize("kind", pii.KINDS)
 def test_pii_features_and_scores_in_sql_equal_python(spark, kind):
     made = pii.examples(kind, 60)
