@@ -1,14 +1,15 @@
-"""N-gram Jaccard join by PartEnum signatures, exact at every size.
+"""N-gram Jaccard join by signatures after PartEnum, without its enumeration; exact at every size.
 
 A document's set holds its distinct 5-word shingles. Sets A and B link when
 their Jaccard similarity is at least 3/4, so that their symmetric difference
 is at most K = floor((|A| + |B|) / 7). K's grid of bands gives every pair a
-band in which both emit signatures: the shingle domain is split into groups of
-partitions, more than K differences can spoil, and each group enumerates the
-subsets of its partitions that must agree when few differences fall into it.
-Equal subsets are one signature, and sufficiently similar sets share one. For
-small K the partitions are single shingles: then cold signatures that two sets
-do not share are differences, one each, and shared ones are the intersection.
+band in which both emit signatures. From K = 150 (FINE) the shingle domain is
+split into more partitions than K differences can spoil, each with one
+signature (pigeonhole: no subsets of partitions are enumerated), and
+sufficiently similar sets share one. Below, every shingle is a signature, as in
+an inverted index: cold ones that two sets do not share are differences, one
+each, and shared ones are the intersection. Up to commit 3baf719 K below 16
+enumerated subsets (three partitions a group, one of them spared).
 
 Signatures travel as packed arrays (7 bytes each) and are grouped in buckets,
 whose number follows spark.sql.shuffle.partitions. At most COLD sets share a
