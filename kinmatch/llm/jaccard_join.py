@@ -395,10 +395,24 @@ def count_shingles(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` with one row of each group of linked documents, that of the smallest doc_id; all columns stay."""
-    found = join_documents(docs)
-    first = staged(found.where("doc_id = component_id").select("doc_id").distinct(), "firsts")
-    return docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """`docs` with one row of each group of linked documents, that of the smallest doc_id; all columns stay.
+
+    Where ids are null or repeated, rows are joined by numbers of their own: then a row without an id is compared like
+    any other (one with an id is kept before it), and of repeated rows one stays. Texts without words link with none;
+    of these, equal ones of one doc_id are one.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.where("n > 1 or doc_id is null").isEmpty():
+        found = join_documents(docs)
+        first = staged(found.where("doc_id = component_id").select("doc_id"), "firsts")
+        return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = join_documents(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnsRenamed({"doc_id": "_row", "component_id": "_group"})
+    known = rows.select("_row", "doc_id", F.sha2("text", 256).alias("_text"))
+    bare = F.expr("n_shingles = 0 and doc_id is not null")
+    groups = found.join(known, "_row").groupBy(F.when(~bare, F.col("_group")), F.when(bare, F.struct("doc_id", "_text")))
+    first = groups.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_first")).select("_first._row")
+    return rows.join(staged(first, "firsts"), "_row", "left_semi").select(docs.columns)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -384,6 +384,14 @@ def test_keep_one_keeps_a_row_of_each_group(odd):
     assert kept == {c for d, (n, c) in brute(texts(odd)).items()}
 
 
+def test_keep_one_keeps_one_of_repeated_rows_and_rows_without_id(spark):
+    words = "a quick brown fox jumps over the lazy dog while nine small birds look on from the old garden wall and sing of rain and sun till night".split()
+    near, other = " ".join([*words, "again"]), "some other text that has nothing to do with any of these at all"
+    rows = [(5, " ".join(words)), (5, " ".join(words)), (3, near), (None, " ".join(words)), (None, other), (None, other), (7, ""), (7, ""), (8, None), (None, None)]
+    kept = jaccard_join.keep_one(spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, more string").repartition(3)).collect()
+    assert Counter(map(tuple, kept)) == Counter([(3, near, "x"), (None, other, "x"), (7, "", "x"), (8, None, "x"), (None, None, "x")])
+
+
 # Chat
 
 
