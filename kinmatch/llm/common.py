@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import re
 import tempfile
 import uuid
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +17,12 @@ from ..sources.tables import table  # noqa: F401
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own on a single machine; a cluster must set it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='kinmatch-')}"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share; set it")
+        found = Path(tempfile.mkdtemp(prefix="kinmatch-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -84,6 +91,33 @@ def gapless(df: DataFrame, group: str, order: tuple[str, ...], out: str, rows_a_
     return numbered.withColumn(out, (F.col("_before") + F.row_number().over(within) - 1).cast("long")).drop("_block", "_before")
 
 
+@functools.cache
+def _trim():
+    """The C library's call that returns freed memory, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Returns freed memory of a Python worker, which lives on after its task, to the system."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def lean(run):
+    """`run` over Arrow batches; what it freed goes back to the system at its end."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
+
+
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the rows of an Arrow batch: very long texts come in batches of bounded memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

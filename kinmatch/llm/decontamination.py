@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_batches, table
+from .common import arrow_batches, lean, table
 
 BUDGET, BLOCK = 0.08, 4_000_000
 
@@ -162,7 +162,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> Da
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "start", "end", "distance"])
 
-        part = docs.select("doc_id", "text").mapInArrow(find, "doc_id long, item_id long, start long, end long, distance int")
+        part = docs.select("doc_id", "text").mapInArrow(lean(find), "doc_id long, item_id long, start long, end long, distance int")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -180,7 +180,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET)
                 clean = [not (t and m.find(normal(t))) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(keep, shape)
+        docs = docs.mapInArrow(lean(keep), shape)
     return docs
 
 

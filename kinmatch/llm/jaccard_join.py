@@ -1,34 +1,34 @@
-"""N-gram Jaccard join by signatures after PartEnum, without its enumeration; exact at every size.
+"""N-gram Jaccard join by PartEnum signatures; exact at every size.
 
 A document's set holds its distinct 5-word shingles. Sets A and B link when
-their Jaccard similarity is at least 3/4, so that their symmetric difference
-is at most K = floor((|A| + |B|) / 7). K's grid of bands gives every pair a
-band in which both emit signatures. From K = 150 (FINE) the shingle domain is
-split into more partitions than K differences can spoil, each with one
-signature (pigeonhole: no subsets of partitions are enumerated), and
-sufficiently similar sets share one. Below, every shingle is a signature, as in
-an inverted index: cold ones that two sets do not share are differences, one
-each, and shared ones are the intersection. Up to commit 3baf719 K below 16
-enumerated subsets (three partitions a group, one of them spared).
-
-Signatures travel as packed arrays (7 bytes each) and are grouped in buckets,
-whose number follows spark.sql.shuffle.partitions. At most COLD sets share a
-cold signature; more make it hot. A set with `slack + 1` more signatures than
-its differences and its hot signatures can spoil shares more than `slack` cold
-ones with every set it links with: pairs that share fewer are no candidates,
-and its hot signatures are not needed. The hot signatures of the other sets
-are looked at among these sets alone, and no such group is expanded into all
-its pairs: its members are compared with its smallest one (a star), the links
-found are merged into components, and only members of another component than
-the pivot's meet the rest of the group. They meet by prefixes: sets are split
-by ranges of |A| + |B|, which tell how many signatures a link must share; with
-its hot signatures ordered from rare to frequent, a set needs only so many of
-the first that no link can miss them all, none at all if its cold ones are too
-many. What a pair shares there and what can follow bounds what it shares, and
-that must again be more than differences can leave.
+their Jaccard similarity is at least 3/4, so that they differ in at most
+K = floor((|A| + |B|) / 7) shingles. K is dealt over a grid of size bands; two
+sets that can link both emit signatures in the band of their K.
+
+Signatures are PartEnum's. Within a band of at most k differences the shingle
+domain is split by hashing into G groups (a little more than k / 2) of three
+partitions, and in each group every subset of two partitions is enumerated: a
+signature is what a set holds in the two. A group with at most one spoiled
+partition keeps a signature common to both sets, and k differences cannot
+spoil two partitions of every group. D differences take away at most
+2 D signatures while D <= G, and G + D beyond, so what two sets must share is
+known from the number that each emits (empty ones are not emitted): fewer
+shared ones, no candidate.
+
+Signatures travel as packed arrays (7 bytes each) and meet in buckets, whose
+number follows the data. At most COLD sets share a cold signature; more make it
+hot. A set that shares with every partner more signatures than it has hot ones
+is found by cold ones alone. All others (sets among many near copies, sets
+built on much shared passages, and sets with so many empty signatures that
+nothing is sure) are left to a second stage: they meet by prefixes of their
+shingles, ordered from the rarest, and dealt over ranges of |A| + |B|, which
+tell how many shingles a link must share. No group of a shingle is expanded
+into all its pairs: its members are compared with its smallest one (a star),
+the links found are merged into components, and only members of another
+component than the smallest's meet the rest of the group.
 
 Candidates are verified on the whole texts. Exact copies are reduced to one
-representative first.
+representative first and get its component.
 
 Nulls: null and empty texts, and texts without words, have an empty set and
 link with nothing; rows with a null doc_id are told with a null component.
@@ -38,25 +38,25 @@ gives no row. Further columns are passed by.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, clean_text, drop_staged, partitions, staged, table
+from .common import arrow_batches, clean_text, drop_staged, give_back, lean, partitions, staged, table
 from .components import components
 
 WORDS = 5
 COLD = 8
+#: A band's k is this multiple of the one before.
 RATIO = 1.4
-#: Below this K every shingle is a partition of its own; from it on, partitions are hashed.
-FINE = 150
-FINE_SPACE, EMPTY_LEVEL = 0, 2
+#: Partitions of a group, and the subsets of them that are enumerated: any but one.
+EACH, SUBSETS = 3, ((0, 1), (0, 2), (1, 2))
 #: Ranges of |A| + |B| for prefixes end at this multiple of their start.
 SUM_RATIO = 1.03
+#: Signatures that meet in a bucket, about.
+BUCKET = 1_000_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _STIR = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -97,14 +97,17 @@ def linked(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 def bands(n: int) -> range:
     """Numbers of the bands in which a set of n shingles may meet another."""
     low, high = (n + (3 * n + 3) // 4) // 7, (n + 4 * n // 3) // 7
-    return range(int(np.searchsorted(GRID, max(low, 1))), int(np.searchsorted(GRID, high)) + 1) if high else range(0)
+    return range(int(np.searchsorted(GRID, max(low, 1))), int(np.searchsorted(GRID, max(high, 1))) + 1)
+
+
+def groups(k: int) -> int:
+    """Groups of a band of at most k differences: k // 2 + 1 would do but for empty signatures."""
+    return int(1.05 * (k // 2 + 1)) + 1
 
 
-def shape(k: int, level: int) -> tuple[int, int, int, int]:
-    """Groups, partitions a group, differences a group bears, and groups that must be sure, for a band of K = k."""
-    bears, each = 0, 1
-    sure = k // (bears + 1) + 1
-    return int((8.0 if level else 1.8) * sure) + 3, each, bears, sure
+def lost(differences: int, k: int) -> int:
+    """The most signatures that so many differences can take from a set in the band of k: two by a first one in a group, the last by a second."""
+    return min(2 * differences, groups(k) + differences)
 
 
 def _stir(x: np.ndarray) -> np.ndarray:
@@ -112,43 +115,28 @@ def _stir(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def signatures(s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-    """(namespace, margin, signatures) of a set: a part for each band and level.
-
-    The margin is how many of its signatures may be hot (or, below zero, must
-    not be missed) while a link is still sure to show in another.
-    """
-    near = bands(len(s))
-    out = [(FINE_SPACE, 0, _stir(s + _STIR))] if not len(near) or GRID[near[0]] < FINE else []
-    for band in (b for b in near if GRID[b] >= FINE):
-        k = int(GRID[band])
-        for level in range(2):
-            groups, each, bears, sure = shape(k, level)
-            cells = groups * each
-            place = ((s >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
-            order = np.argsort(place, kind="stable")
-            p = place[order].astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-            sums = np.zeros(cells, np.uint64)
-            sums[p[first]] = np.add.reduceat(_stir(s + np.uint64(band * 2 + level))[order], first)
-            full = np.zeros(cells, bool)
-            full[p[first]] = True
-            sums, full = sums.reshape(groups, each), full.reshape(groups, each)
-            subsets = list(combinations(range(each), each - bears))
-            value = np.stack([sum((sums[:, i] * _MULT[i] for i in c), np.zeros(groups, np.uint64)) for c in subsets], 1)
-            some = np.stack([full[:, list(c)].any(1) for c in subsets], 1)
-            tag = np.arange(value.size, dtype=np.uint64).reshape(value.shape) + np.uint64((band * 4 + level) << 40)
-            margin = int((full.sum(1) > bears).sum()) - sure
-            out.append((band * 4 + level, margin, _stir(value + tag * _MULT[0])[some]))
-            if margin >= 0:
-                break
-        else:  # so few that nothing is sure: such sets may meet in an empty part, too
-            out.append((band * 4 + EMPTY_LEVEL, -1, _stir(tag * _MULT[1])[~some]))
+def signatures(s: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(band, signatures) of a set, for each of its bands; signatures of nothing are left out."""
+    out = []
+    for band in bands(len(s)):
+        many = groups(int(GRID[band]))
+        place = (((s >> np.uint64(32)) * np.uint64(many * EACH)) >> np.uint64(32)).astype(np.int64)  # ascending, as s is
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        held = np.zeros(many * EACH, np.uint64)
+        held[place[first]] = np.add.reduceat(_stir(s + np.uint64(band)), first)
+        full = np.zeros(many * EACH, bool)
+        full[place[first]] = True
+        held, full = held.reshape(many, EACH), full.reshape(many, EACH)
+        value = np.stack([held[:, i] * _MULT[i] + held[:, j] * _MULT[j] for i, j in SUBSETS], 1)
+        some = np.stack([full[:, i] | full[:, j] for i, j in SUBSETS], 1)
+        tag = np.arange(value.size, dtype=np.uint64).reshape(value.shape) + np.uint64(band << 40)
+        out.append((band, _stir(value + tag * _MULT[0])[some]))
     return out
 
 
 PACKED = "bucket int, block long, sigs binary, entries binary, docs binary"
-ENTRY = np.dtype([("doc", "<i8"), ("n", "<i4"), ("space", "<i2"), ("margin", "<i4")])
+#: A set in a band: `most` is the band's k, `before` the one below it, `emitted` the number of its signatures.
+ENTRY = np.dtype([("doc", "<i8"), ("h", "<i8"), ("c", "<i8"), ("l", "<i4"), ("n", "<i4"), ("before", "<i4"), ("most", "<i4"), ("groups", "<i4"), ("emitted", "<i4")])
 
 
 def _pack(buckets: int):
@@ -176,35 +164,35 @@ def _pack(buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in PACKED.split(", ")])
 
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for *key, t in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 s = shingles(t)
-                for space, margin, found in signatures(s) if len(s) else ():
-                    if len(found):
-                        entries.append((d, len(s), space, margin))
-                        sigs.append(found)
-                        owner.append(len(found))
-                        size += len(found)
-                if size > 1_500_000 or len(entries) > 60_000:
-                    yield flush()
+                for band, found in signatures(s) if len(s) else ():
+                    k = int(GRID[band])
+                    entries.append((*key, len(s), int(GRID[band - 1]) if band else -1, k, groups(k), len(found)))
+                    sigs.append(found)
+                    owner.append(len(found))
+                    size += len(found)
+                    if size > 1_000_000 or len(entries) > 60_000:
+                        yield flush()
         if entries:
             yield flush()
 
     return run
 
 
-MET = "kind int, sig long, a long, b long, doc long, n int, space int, margin int"
+MET = "kind int, a long, b long, shared long, doc long, h long, c long, l int, n int, before int, most int, groups int, emitted int"
 ENTRIES, PAIRS, HOT = range(3)
 
 
 def _meet(cold: int):
-    """One bucket: pairs of entries that share a cold signature, members of hot ones; or the entries of blocks."""
+    """One bucket: pairs of entries that share cold signatures, and the number of hot ones of each entry; or the entries of blocks."""
+    names = dict(x.split() for x in MET.split(", "))
+    arrow = {"int": pa.int32(), "long": pa.int64()}
 
     def table_of(kind: int, **cols) -> pa.Table:
         n = len(next(iter(cols.values())))
-        kinds = dict(x.split() for x in MET.split(", "))
-        arrow = {"int": pa.int32(), "long": pa.int64()}
         cols["kind"] = np.full(n, kind)
-        return pa.Table.from_arrays([pa.array(cols[c], arrow[t]) if c in cols else pa.nulls(n, arrow[t]) for c, t in kinds.items()], list(kinds))
+        return pa.Table.from_arrays([pa.array(cols[c], arrow[t]) if c in cols else pa.nulls(n, arrow[t]) for c, t in names.items()], list(names))
 
     def run(tbl: pa.Table) -> pa.Table:
         bucket, block = tbl.column("bucket")[0].as_py(), tbl.column("block").to_numpy() << 16
@@ -212,7 +200,7 @@ def _meet(cold: int):
             parts = [np.frombuffer(x, ENTRY) for x in tbl.column("docs").to_pylist()]
             e = np.concatenate(parts)
             entry = np.concatenate([np.arange(len(x)) for x in parts]) + np.repeat(block, [len(x) for x in parts])
-            return table_of(ENTRIES, a=entry, doc=e["doc"], n=e["n"], space=e["space"], margin=e["margin"])
+            return table_of(ENTRIES, a=entry, **{c: e[c] for c in ENTRY.names})
         sig = np.zeros((sum(len(x) for x in tbl.column("sigs").to_pylist()) // 5, 8), np.uint8)
         sig[:, :5] = np.frombuffer(b"".join(tbl.column("sigs").to_pylist()), np.uint8).reshape(-1, 5)
         sig = sig.view("<u8").ravel()
@@ -222,63 +210,57 @@ def _meet(cold: int):
         sig, entry = sig[order], entry[order]
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         counts = np.diff(np.append(first, len(sig)))
-        size = np.repeat(counts, counts)
-        hot = size > cold
+        hot = np.repeat(counts > cold, counts)
         left, right = [], []
         for step in range(1, cold):
             same = np.flatnonzero((sig[step:] == sig[:-step]) & ~hot[step:])
             left.append(np.minimum(entry[same], entry[same + step]))
             right.append(np.maximum(entry[same], entry[same + step]))
-        pairs = table_of(PAIRS, a=np.concatenate(left), b=np.concatenate(right))
-        return pa.concat_tables([pairs, table_of(HOT, sig=(sig[hot] | np.uint64(bucket << 40)).astype(np.int64), a=entry[hot])])
+        a, b = np.concatenate(left), np.concatenate(right)
+        pairs = table_of(PAIRS, a=a, b=b, shared=np.ones(len(a), np.int64))
+        spoiled, many = np.unique(entry[hot], return_counts=True)
+        del sig, entry, order, left, right
+        give_back()
+        return pa.concat_tables([pairs, table_of(HOT, a=spoiled, shared=many)])
 
     return run
 
 
-def met(reps: DataFrame, cold: int = COLD) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) by cold signatures, and the members (sig, entry, doc, n, space, margin, cold) of hot groups that need a look. Both staged."""
+KEY = ["h", "c", "l"]
+
+
+def met(reps: DataFrame, cold: int = COLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidate pairs (a, b) by cold signatures, the sets (doc, h, c, l) left to the second stage, and the size n of each set (h, c, l). All staged."""
     arrow_batches(reps.sparkSession)
-    buckets = 4 * partitions(reps.sparkSession)
-    packed = reps.select("doc_id", "text").mapInArrow(_pack(buckets), PACKED)
+    chars = reps.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(4 * partitions(reps.sparkSession), int(chars) // 6 // BUCKET)  # about a signature a word
+    packed = reps.select("doc_id", *KEY, "text").mapInArrow(lean(_pack(buckets)), PACKED)
     every = staged(packed.groupBy("bucket").applyInArrow(_meet(cold), MET), "partenum")
-    hot = every.where(F.col("kind") == HOT).select("sig", F.col("a").alias("entry"))
-    spoiled = hot.groupBy("entry").agg(F.count("*").alias("hot"))
-    entries = every.where(F.col("kind") == ENTRIES).select(F.col("a").alias("entry"), "doc", "n", "space", "margin").join(spoiled, "entry", "left").na.fill(0, ["hot"])
-    entries = staged(entries.withColumns({"slack": F.col("margin") - F.col("hot"), "cold": F.col("n") - F.col("hot")}), "entries")
-    shared = every.where(F.col("kind") == PAIRS).groupBy("a", "b").agg(F.count("*").alias("c"))
-    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("doc", "n", "slack", "cold")]
-    told = shared.join(entries.select(F.col("entry").alias("a"), "space", *side("a")), "a").where(f"space = {FINE_SPACE} or c > slack_a")
-    told = told.join(entries.select(F.col("entry").alias("b"), *side("b")), "b")
-    told = told.where(f"case when space = {FINE_SPACE} then 7 * (cold_a + cold_b - 2 * c) <= n_a + n_b else c > slack_b end and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    entries = every.where(F.col("kind") == ENTRIES).select(F.col("a").alias("entry"), *ENTRY.names)
+    spoiled = every.where(F.col("kind") == HOT).groupBy(F.col("a").alias("entry")).agg(F.sum("shared").alias("hot"))
+    entries = staged(entries.join(spoiled, "entry", "left").na.fill(0, ["hot"]), "entries")
+
+    shared = every.where(F.col("kind") == PAIRS).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("doc", "n", "emitted", "hot")]
+    told = shared.join(entries.select(F.col("entry").alias("a"), "before", "most", "groups", *side("a")), "a")
+    told = told.join(entries.select(F.col("entry").alias("b"), *side("b")), "b").withColumn("k", F.expr("(n_a + n_b) div 7"))
+    told = told.where("before < k and k <= most and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    told = told.where("shared >= greatest(emitted_a - hot_a, emitted_b - hot_b) - least(2 * k, groups + k)")
     pairs = staged(told.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).where("a < b").distinct(), "cold-pairs")
-    # cold shingles of a set all differ from a set that shares hot ones only: at most a third of its size, or no link
-    needed = entries.where(f"hot > 0 and case when space = {FINE_SPACE} then 3 * cold <= n else slack < 0 end").select("entry", "doc", "n", "space", "margin", "cold")
-    active = staged(hot.join(needed, "entry"), "hot-members")
+
+    most = F.expr("least(most, (n + 4 * n div 3) div 7)")
+    unsure = F.col("emitted") - F.col("hot") - F.least(2 * most, F.col("groups") + most) < 1
+    left = staged(entries.where(unsure).select("doc", *KEY).distinct(), "left-over")
+    sizes = staged(entries.groupBy(*KEY).agg(F.max("n").alias("n")), "sizes")
     for t in (every, entries):
         drop_staged(t)
-    return pairs, active
-
-
-def _bloom(ids: DataFrame, bits: int = 23) -> Column:
-    """A test of doc_id that holds for all `ids` and few others; its size is fixed (1 MiB), whatever the input."""
-    hashes = lambda c: [F.pmod(F.xxhash64(c, F.lit(i)), F.lit(1 << bits)) for i in (1, 2)]
-    spots = ids.select(F.explode(F.array(*hashes(F.col("doc")))).alias("h"))
-    words = spots.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("h") % 64).cast("int"))).alias("b"))
-    table_ = [0] * (1 << bits - 6)
-    for r in words.collect():
-        table_[r.w] = r.b
-    lookup = F.split(F.lit(",".join(map(str, table_))), ",").cast("array<bigint>")
-    test = F.lit(True)
-    for h in hashes(F.col("doc_id")):
-        word = F.element_at(lookup, (F.shiftright(h, 6) + 1).cast("int"))
-        test = test & (F.call_function("shiftright", word, (h % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    return test
-
-
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    return pairs, left, sizes
+
+
+def verify(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """a, b, inter, joint: the sizes of intersection and union of each of the staged pairs (a, b). Staged."""
-    ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    texts = staged(docs.where("doc_id is not null").where(_bloom(ids)).select("doc_id", clean_text("text").alias("text")), "texts")
+    ids = staged(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    texts = staged(reps.join(ids, "doc_id", "left_semi").select("doc_id", "text"), "texts")
     side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
@@ -293,8 +275,9 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "inter", "joint"])
 
-    out = staged(both.mapInArrow(run, "a long, b long, inter long, joint long"), "verified")
-    drop_staged(texts)
+    out = staged(both.mapInArrow(lean(run), "a long, b long, inter long, joint long"), "verified")
+    for t in (texts, ids):
+        drop_staged(t)
     return out
 
 
@@ -306,57 +289,64 @@ def _range(total: Column) -> Column:
     return F.floor(F.log(total) / float(np.log(SUM_RATIO)))
 
 
-def _prefixes(told: DataFrame) -> DataFrame:
-    """The hot signatures that an entry needs for each range of |A| + |B|, with their place among all its hot ones (from 1)."""
-    order = Window.partitionBy("entry").orderBy("members", "sig")
-    told = told.withColumns({"place": F.row_number().over(order), "hot": F.count("*").over(Window.partitionBy("entry"))})
-    ends = F.array(*[F.lit(int(x)) for x in GRID])
-    end, before = F.element_at(ends, F.expr("space div 4 + 1").cast("int")), F.element_at(ends, F.expr("greatest(space div 4, 1)").cast("int"))
-    fine = F.col("space") == FINE_SPACE
-    # a pair is looked for in its own band only; all of a fine set's signatures are full, and none of an empty part's
-    told = told.withColumn("full", F.when(fine, F.col("n")).when(F.expr(f"space % 4 = {EMPTY_LEVEL}"), 0).otherwise(F.col("margin") + end + 1))
-    least = F.greatest(F.expr("n + (3 * n + 3) div 4"), F.when(fine, 0).otherwise(7 * before + 7))
-    most = F.least(F.expr("n + 4 * n div 3"), F.when(fine, 7 * int(GRID[GRID < FINE][-1]) + 6).otherwise(7 * end + 6))
-    told = told.withColumns({"least": least, "most": most}).where("least <= most")
-    told = told.withColumn("range", F.explode(F.sequence(_range(F.col("least")), _range(F.col("most")))))
-    # one less and one more than the range's ends, for rounding
-    start, stop = F.floor(F.pow(F.lit(SUM_RATIO), F.col("range"))) - 1, F.ceil(F.pow(F.lit(SUM_RATIO), F.col("range") + 1)) + 1
-    shared = F.when(fine, F.ceil(3 * F.greatest(start, F.col("least")) / 7)).otherwise(F.col("full") - F.floor(F.least(stop, F.col("most")) / 7))
-    return told.where(F.col("place") <= F.col("hot") - F.greatest(shared, F.lit(1)) + 1).drop("least", "most", "margin", "members")
-
-
-def set_links(cold: DataFrame, active: DataFrame, docs: DataFrame) -> DataFrame:
+def prefixes(left: DataFrame, reps: DataFrame) -> DataFrame:
+    """doc, n, token, range: the shingles by which the sets `left` over must meet, for each range of |A| + |B|.
+
+    Two sets of S shingles together link if they share 3 S / 7 at least. With
+    the shingles of either in one order, a link of sets of n shingles has one
+    of the first n - 3 S / 7 + 1 in common.
+    """
+
+    def run(batches):
+        for batch in batches:
+            found = [shingles(t) for t in batch.column("text").to_pylist()]
+            many = [len(s) for s in found]
+            per = lambda c: np.repeat(batch.column(c).to_numpy(), many)
+            token = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            for i in range(0, len(token), 500_000):
+                cut = slice(i, i + 500_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(per("doc_id")[cut], pa.int64()), pa.array(per("h")[cut], pa.int64()), pa.array(np.repeat(many, many)[cut], pa.int32()), pa.array(token[cut], pa.int64())],
+                    ["doc", "h", "n", "token"],
+                )
+
+    sets = reps.join(left.withColumnRenamed("doc", "doc_id"), ["doc_id", *KEY], "left_semi").select("doc_id", "h", "text")
+    tokens = staged(sets.mapInArrow(lean(run), "doc long, h long, n int, token long"), "tokens")
+    often = staged(tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"), "often")
+    # the shingles of a set from this one on, in the order: as many as it can still share; those of one set alone come first
+    placed = tokens.join(often, "token").withColumn("later", F.row_number().over(Window.partitionBy("doc", "h").orderBy(F.desc("sets"), F.desc("token"))))
+    least, most = F.expr("n + (3 * n + 3) div 4"), F.expr("least(n + 4 * n div 3, 7 * later div 3)")
+    placed = placed.where(least <= most).withColumn("range", F.explode(F.sequence(_range(least), _range(most))))
+    found = staged(placed.select("doc", "n", "token", "range"), "prefixes")
+    for t in (tokens, often):
+        drop_staged(t)
+    return found
+
+
+def set_links(cold: DataFrame, left: DataFrame, reps: DataFrame) -> DataFrame:
     """Edges (a, b) whose components are those of all links between sets, from what `met` returns. Staged."""
-    pivots = active.groupBy("sig").agg(F.min(F.struct("doc", "margin", "cold", "n")).alias("p"), F.count("*").alias("members")).where("members > 1").select("sig", "members", F.col("p.doc").alias("p"), *[F.col(f"p.{c}").alias(f"{c}_p") for c in ("margin", "cold", "n")])
-    starred = staged(active.join(pivots, "sig"), "starred")
-    # a pair of a star may share further signatures in groups of another pivot: half of what a link needs will do here
-    stars = starred.where(f"doc <> p and (space <> {FINE_SPACE} or 7 * (cold + cold_p) <= n + n_p)").groupBy("p", "entry", "doc", "space").agg(F.count("*").alias("c"), F.max(F.greatest("margin_p", "margin")).alias("m"), F.max(F.col("n") + F.col("n_p")).alias("nn"))
-    stars = stars.where(f"case when space = {FINE_SPACE} then 14 * c >= 3 * nn else 2 * c > m end")
-    pairs = staged(cold.unionByName(stars.select(F.col("p").alias("a"), F.col("doc").alias("b"))).distinct(), "pairs")
-    first = verify(pairs, docs)
-    drop_staged(pairs)
+    rare = prefixes(left, reps)
+    group = ["token", "range"]
+    pivots = staged(rare.groupBy(group).agg(F.min(F.struct("doc", "n")).alias("p"), F.count("*").alias("sets")).where("sets > 1").select(*group, F.col("p.doc").alias("p"), F.col("p.n").alias("n_p")), "pivots")
+    stars = rare.join(pivots, group).where("doc <> p and 4 * least(n, n_p) >= 3 * greatest(n, n_p)").select(F.col("p").alias("a"), F.col("doc").alias("b"))
+    pairs = staged(cold.unionByName(stars).distinct(), "pairs")
+    first = verify(pairs, reps)
+    for t in (pairs, pivots):
+        drop_staged(t)
     merged = components(first.where(LINK).select("a", "b"))
 
-    label = merged.select(F.col("vertex").alias("doc"), F.col("component").alias("label"))
-    told = starred.join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    told = told.join(label.select(F.col("doc").alias("p"), F.col("label").alias("home")), "p", "left").withColumn("home", F.coalesce("home", "p"))
-    told = told.select("sig", "members", "entry", "doc", "n", "space", "margin", "cold", "label", (F.col("label") != F.coalesce("home", "p")).alias("away"))
-    told = staged(_prefixes(told), "told")
-    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("entry", "doc", "n", "full", "cold", "label", "away", "place", "hot")]
-    met_ = told.where("away").select("sig", "range", "space", *side("x")).join(told.select("sig", "range", *side("y")), ["sig", "range"])
-    met_ = met_.where(_range(F.col("n_x") + F.col("n_y")) == F.col("range"))
-    met_ = met_.where(f"label_x <> label_y and (not away_y or doc_x < doc_y) and 4 * least(n_x, n_y) >= 3 * greatest(n_x, n_y) and (space <> {FINE_SPACE} or 7 * (cold_x + cold_y) <= n_x + n_y)")
-    shared = F.when(F.col("space") == FINE_SPACE, F.expr("(3 * (n_x + n_y) + 6) div 7")).otherwise(F.expr("greatest(full_x, full_y) - (n_x + n_y) div 7"))
-    # either set of a pair may be the one that is away, from signature to signature: one order for all of them
-    turned = [F.when(F.col("doc_x") < F.col("doc_y"), F.col(f"{c}_{i}")).otherwise(F.col(f"{c}_{j}")).alias(f"{c}_{k}") for c in ("entry", "doc", "hot", "place") for i, j, k in (("x", "y", "a"), ("y", "x", "b"))]
-    more = met_.select(F.greatest(shared, F.lit(1)).alias("shared"), *turned)
-    more = more.groupBy("entry_a", "entry_b", "doc_a", "doc_b", "hot_a", "hot_b", "shared").agg(F.count("*").alias("c"), F.max("place_a").alias("x"), F.max("place_b").alias("y"))
-    more = more.where("c + least(hot_a - x, hot_b - y) >= shared")
-    more = more.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+    labels = merged.select(F.col("vertex").alias("doc"), F.col("component").alias("label"))
+    told = staged(rare.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc")), "told")
+    homes = staged(told.groupBy(group).agg(F.min_by("label", "doc").alias("home"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select(*group, "home"), "homes")
+    mixed = staged(told.join(homes, group).select(*group, "doc", "n", "label", (F.col("label") != F.col("home")).alias("away")), "mixed")
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("doc", "n", "label", "away")]
+    more = mixed.where("away").select(*group, *side("x")).join(mixed.select(*group, *side("y")), group)
+    more = more.where(_range(F.col("n_x") + F.col("n_y")) == F.col("range")).where("label_x <> label_y and (not away_y or doc_x < doc_y) and 4 * least(n_x, n_y) >= 3 * greatest(n_x, n_y)")
+    more = more.select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).distinct()
     more = staged(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    second = verify(more, docs)
+    second = verify(more, reps)
     out = staged(first.where(LINK).select("a", "b").unionByName(second.where(LINK).select("a", "b")), "links")
-    for t in (starred, told, more, first, second, merged):
+    for t in (rare, told, homes, mixed, more, first, second, merged):
         drop_staged(t)
     return out
 
@@ -364,22 +354,34 @@ def set_links(cold: DataFrame, active: DataFrame, docs: DataFrame) -> DataFrame:
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs`."""
     text = clean_text("text")
-    base = staged(docs.select("doc_id", F.xxhash64(text).alias("h"), F.crc32(F.encode(text, "UTF-8")).alias("c"), F.length(text).alias("l"), (F.length(F.trim(text)) > 0).alias("full")), "texts-by-hash")
-    same = base.where("doc_id is not null and full").groupBy("h", "c", "l").agg(F.min("doc_id").alias("rep"))
-    reps = docs.select("doc_id", text.alias("text")).join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    cold, active = met(reps)
-    links = set_links(cold, active, docs)
-    for t in (cold, active):
-        drop_staged(t)
-    # copies link too, unless they hold no word: sizes tell
-    sizes = staged(count_shingles(docs), "sizes")
-    copies = base.where("full").join(same, ["h", "c", "l"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
-    copies = copies.join(sizes.where("n_shingles > 0").select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi")
-    found = components(links.unionByName(copies))
-    for t in (links, base):
+    keyed = docs.select("doc_id", F.xxhash64(text).alias("h"), F.crc32(F.encode(text, "UTF-8")).alias("c"), F.length(text).alias("l"), text.alias("text"))
+    base = staged(keyed.drop("text"), "texts-by-hash")
+    same = staged(base.where("doc_id is not null and l > 0").groupBy(*KEY).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "same")
+    again = staged(base.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    repeated = not again.isEmpty()
+    reps = keyed.join(same.select(F.col("rep").alias("doc_id"), *KEY), ["doc_id", *KEY], "left_semi")
+    if repeated:
+        reps = reps.dropDuplicates(["doc_id", *KEY])
+    cold, left, sizes = met(reps)
+    links = set_links(cold, left, reps)
+    for t in (cold, left):
         drop_staged(t)
-    out = sizes.join(found.select(F.col("vertex").alias("doc_id"), "component"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    if repeated:  # the texts of one id are one vertex
+        links = links.unionByName(base.join(again, "doc_id").join(same.join(sizes, KEY), KEY).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
+    found = components(links).withColumnRenamed("component", "component_id")
+    known = same.join(sizes, KEY).join(found.withColumnRenamed("vertex", "rep"), "rep", "left")
+    known = staged(known.select(*KEY, "rows", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id")), "known")
+
+    # texts that more rows hold than a partition should: fewer than there are partitions, so that they can be broadcast
+    most = (same.agg(F.sum("rows")).first()[0] or 0) // partitions(docs.sparkSession)
+    hot, others = F.broadcast(known.where(F.col("rows") > most).drop("rows")), known.where(F.col("rows") <= most).drop("rows")
+    rows = base.where("doc_id is not null")
+    out = rows.join(hot, KEY).unionByName(rows.join(hot, KEY, "left_anti").join(others, KEY, "left"), allowMissingColumns=True)
+    out = out.select("doc_id", F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    if repeated:
+        own = found.join(again.withColumnRenamed("doc_id", "vertex"), "vertex").select(F.col("vertex").alias("doc_id"), F.col("component_id").alias("own"))
+        out = out.join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("own", "component_id").alias("component_id"))
+    return out.unionByName(count_shingles(docs.where("doc_id is null")).withColumn("component_id", F.lit(None).cast("long")))
 
 
 def count_shingles(docs: DataFrame) -> DataFrame:
@@ -391,7 +393,7 @@ def count_shingles(docs: DataFrame) -> DataFrame:
             n = [len(shingles(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_shingles long")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, gapless, staged, table
+from .common import arrow_batches, gapless, lean, staged, table
 from .tokens import encoder, tokenizer_path
 
 CAPACITY, END_ID = 2048, 0
@@ -116,7 +116,7 @@ def tokenize_pieces(docs: DataFrame, path: str | None = None, capacity: int = CA
                 ["doc_id", "piece", "start", "length", "ids"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -138,7 +138,7 @@ def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 [*(batch.column(n) for n in names), pa.array(sequence[at] + rank), pa.array(offset[at])], [*names, "sequence_id", "offset"]
             )
 
-    return ranked.mapInArrow(look_up, f"{shape}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(look_up), f"{shape}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

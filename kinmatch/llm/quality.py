@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, clean_text, table
+from .common import arrow_batches, clean_text, lean, table
 
 SAMPLE, REJECT, BITS = 700, 0.8, 16
 SYMBOLS = b"#*$%&|<>"
@@ -189,7 +189,7 @@ def judge_quality(docs: DataFrame, model: Model | None, reject: float = REJECT)
             kinds = [pa.int64()] * 6 + [pa.bool_()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in JUDGED.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, JUDGED)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), JUDGED)
 
 
 def keep_quality(docs: DataFrame, model: Model | None, reject: float = REJECT) -> DataFrame:
@@ -202,7 +202,7 @@ def keep_quality(docs: DataFrame, model: Model | None, reject: float = REJECT) -
             keep = [kept(t or "", base(t or "")[-1], model, reject) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_batches, table
+from .common import arrow_batches, lean, table
 
 # The patterns of the contract.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -259,7 +259,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, FOUND)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), FOUND)
 
 
 def redacted(text: str, mark: str = "[SECRET]") -> str:
@@ -294,7 +294,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                     cols["n_chars"] = pa.array(count, batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op4_secret_scans(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, forget, partitions, running_start, shared_dir, table
+from .common import arrow_batches, forget, lean, partitions, running_start, shared_dir, table
 from .tokens import encoder, tokenizer_path
 
 END_ID, LEAST, MOST, MASK = 1, 64, 4096, 511
@@ -101,7 +101,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in ENCODED.split(", ")])
 
-    return docs.select("doc_id", F.monotonically_increasing_id().alias("row_key"), "text").mapInArrow(run, ENCODED)
+    return docs.select("doc_id", F.monotonically_increasing_id().alias("row_key"), "text").mapInArrow(lean(run), ENCODED)
 
 
 def _chunks(df: DataFrame, *cols: str) -> DataFrame:
@@ -160,7 +160,7 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     both = notes.unionByName(encoded, allowMissingColumns=True)
     ranged = both.repartitionByRange(partitions(spark), "doc_id").withColumn("pack", F.spark_partition_id())
     ranged = ranged.sortWithinPartitions("doc_id", "row_key", F.col("payload").isNotNull())
-    ranged.mapInArrow(_settle, PACKED).write.option("compression", "zstd").parquet(f"{folder}/packs")
+    ranged.mapInArrow(lean(_settle), PACKED).write.option("compression", "zstd").parquet(f"{folder}/packs")
     forget(spark, f"{folder}/encoded")
     _pack_roots(spark.read.schema(PACKED).parquet(f"{folder}/packs").select("pack", "doc_id", "row_key", "root")).write.parquet(f"{folder}/manifest")
 
@@ -233,13 +233,13 @@ def read_store(spark, folder: str) -> DataFrame:
     if not manifest.join(found, ["pack", "documents"], "full").where(~F.col("root").eqNullSafe(F.col("found"))).isEmpty():
         raise ValueError("a pack differs from the manifest")
     whole = F.size("stored") == F.size("lengths")
-    alone = packs.where(whole).mapInArrow(_alone, DOCUMENT)
+    alone = packs.where(whole).mapInArrow(lean(_alone), DOCUMENT)
     rest = packs.where(~whole)
     named = _chunks(rest, "row_key", "stored").where(~F.array_contains("stored", F.col("ord"))).select("row_key", "ord", "hash")
-    given = packs.where(F.size("shared") > 0).mapInArrow(_give, "hash binary, part binary")
+    given = packs.where(F.size("shared") > 0).mapInArrow(lean(_give), "hash binary, part binary")
     parts = named.join(given, "hash").select("row_key", "ord", "part")
     both = parts.unionByName(rest, allowMissingColumns=True).repartition("row_key").sortWithinPartitions("row_key", F.col("root").isNotNull())
-    return alone.unionByName(both.mapInArrow(_together, DOCUMENT))
+    return alone.unionByName(both.mapInArrow(lean(_together), DOCUMENT))
 
 
 def op3_token_output(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 White space never lies inside a token of this tokenizer, so a text is the
 concatenation of its chunks between spaces and line feeds, and the ids of a
-chunk are kept from one text to the next (two generations of bounded size).
+chunk are kept from one text to the next (two generations of bounded bytes).
 Unknown chunks are encoded together by the library and told apart by offsets;
 lower-case words of Latin letters, which normalisation leaves as they are and
 pre-tokenisation never cuts, go straight to the library's model.
@@ -17,6 +17,8 @@ from array import array
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
+#: Bytes that a kept chunk takes besides its characters and ids.
+ENTRY = 160
 #: Beyond these letters lower-casing is left to the tokenizer.
 _OTHER = re.compile("[^\x00-ɏ]")
 
@@ -40,13 +42,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str, generation: int = 500_000):
+    def __init__(self, path: str, generation: int = 64 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.generation, self.young, self.old = generation, {"": b""}, {}
+        self.generation, self.taken, self.young, self.old = generation, 0, {"": b""}, {}
         self.marks = {m: self._ids(m) for m in ",."}
 
     def _ids(self, text: str) -> bytes:
@@ -95,10 +97,11 @@ class ChunkEncoder:
             text = text.lower()
         chunks = text.replace("\n", " ").split(" ")
         if unknown := set(chunks).difference(self.young):
-            if len(self.young) > self.generation:
-                self.old, self.young = self.young, {"": b""}
+            if self.taken > self.generation:
+                self.old, self.young, self.taken = self.young, {"": b""}, 0
                 unknown = set(chunks).difference(self.young)
             self._learn(unknown)
+            self.taken += sum(ENTRY + len(c) + len(self.young[c]) for c in unknown)
         return b"".join(map(self.young.__getitem__, chunks))
 
 

@@ -360,17 +360,42 @@ def test_join_loses_no_link_among_many_copies_near_the_threshold(spark):
     assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute(dict(rows))
 
 
-def test_similar_sets_share_signatures_beyond_their_slack():
+def test_linked_sets_share_as_many_signatures_as_differences_leave():
     rng = np.random.default_rng(0)
-    for n in (4, 9, 25, 60, 300, 2000):
-        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-        k = len(a) // 8
-        b = np.unique(np.concatenate([a[k:], rng.integers(0, 2**63, max(0, k - 1)).astype(np.uint64)]))
-        inter, joint = jaccard_join.linked(a, b)
-        if 100 * inter < 75 * joint:
-            continue
-        pa_, pb = ({space: (m, set(s.tolist())) for space, m, s in jaccard_join.signatures(x)} for x in (a, b))
-        assert any(len(pa_[x][1] & pb[x][1]) > max(pa_[x][0], pb[x][0], 0) or len(pa_[x][1] & pb[x][1]) > 0 for x in pa_.keys() & pb.keys())
+    tried = 0
+    for n in (1, 2, 3, 4, 5, 7, 9, 12, 25, 60, 300, 700, 2000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            k = int(rng.integers(0, n // 7 + 1))
+            b = np.unique(np.concatenate([a[k:], rng.integers(0, 2**63, int(rng.integers(0, k + 1))).astype(np.uint64)]))
+            inter, joint = jaccard_join.linked(a, b)
+            differ = joint - inter
+            assert 100 * inter < 75 * joint or differ <= (len(a) + len(b)) // 7
+            if 100 * inter < 75 * joint:
+                continue
+            (sa, sb), tried = (dict(jaccard_join.signatures(x)) for x in (a, b)), tried + 1
+            band = int(np.searchsorted(jaccard_join.GRID, max(differ, (len(a) + len(b)) // 7, 1)))
+            shared = len(np.intersect1d(sa[band], sb[band]))
+            assert shared >= max(len(sa[band]), len(sb[band])) - jaccard_join.lost(differ, int(jaccard_join.GRID[band]))
+    assert tried > 200
+
+
+def test_join_equals_brute_force_on_large_sets(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage, rows = [word() for _ in range(900)], []
+    for size in (560, 900, 1500, 4000):
+        base = [word() for _ in range(size)]
+        for share in (0, 0.01, 0.02, 0.025, 0.028, 0.03, 0.035, 0.05):  # the threshold lies between
+            w = base[:]
+            for at in rng.sample(range(size), int(size * share)):
+                w[at] = word()
+            rows.append(w)
+    rows += [passage + [word() for _ in range(rng.randint(50, 250))] for _ in range(24)]  # a hot passage, linked or not
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    want = brute(dict(rows))
+    assert len({c for _, c in want.values()}) < len(rows)
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == want
 
 
 def test_components(spark):
