@@ -359,11 +359,12 @@ def join_documents(docs: DataFrame) -> DataFrame:
     same = staged(base.where("doc_id is not null and l > 0").groupBy(*KEY).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "same")
     again = staged(base.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
     repeated = not again.isEmpty()
-    reps = keyed.join(same.select(F.col("rep").alias("doc_id"), *KEY), ["doc_id", *KEY], "left_semi")
     if repeated:
-        reps = reps.dropDuplicates(["doc_id", *KEY])
+        keyed = reps = keyed.join(same.select(F.col("rep").alias("doc_id"), *KEY), ["doc_id", *KEY], "left_semi").dropDuplicates(["doc_id", *KEY])
+    else:
+        reps = keyed.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     cold, left, sizes = met(reps)
-    links = set_links(cold, left, reps)
+    links = set_links(cold, left, keyed)  # ids are of representatives from here on: no need to keep to their rows
     for t in (cold, left):
         drop_staged(t)
     if repeated:  # the texts of one id are one vertex
