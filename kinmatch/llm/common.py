@@ -39,6 +39,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of ids (8 bytes each) that are broadcast at most; more are joined by a shuffle.
+MOST_IDS = 1_000_000
+
+
+def only(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of `df` whose `keys` (numbers) are in the staged `ids`, which are counted before they are broadcast."""
+    return df.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, keys, "left_semi")
+
+
 def clean_text(col: Column | str = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, clean_text, drop_staged, give_back, lean, partitions, staged, table
+from .common import arrow_batches, clean_text, drop_staged, give_back, lean, only, partitions, staged, table
 from .components import components
 
 WORDS = 5
@@ -56,7 +56,7 @@ EACH, SUBSETS = 3, ((0, 1), (0, 2), (1, 2))
 #: Ranges of |A| + |B| for prefixes end at this multiple of their start.
 SUM_RATIO = 1.03
 #: Signatures that meet in a bucket, about.
-BUCKET = 1_000_000
+BUCKET = 500_000
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _STIR = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -172,7 +172,7 @@ def _pack(buckets: int):
                     sigs.append(found)
                     owner.append(len(found))
                     size += len(found)
-                    if size > 1_000_000 or len(entries) > 60_000:
+                    if size > 600_000 or len(entries) > 60_000:
                         yield flush()
         if entries:
             yield flush()
@@ -260,7 +260,7 @@ def met(reps: DataFrame, cold: int = COLD) -> tuple[DataFrame, DataFrame, DataFr
 def verify(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """a, b, inter, joint: the sizes of intersection and union of each of the staged pairs (a, b). Staged."""
     ids = staged(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    texts = staged(reps.join(ids, "doc_id", "left_semi").select("doc_id", "text"), "texts")
+    texts = staged(only(reps, ids, ["doc_id"]).select("doc_id", "text"), "texts")
     side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
@@ -310,7 +310,7 @@ def prefixes(left: DataFrame, reps: DataFrame) -> DataFrame:
                     ["doc", "h", "n", "token"],
                 )
 
-    sets = reps.join(left.withColumnRenamed("doc", "doc_id"), ["doc_id", *KEY], "left_semi").select("doc_id", "h", "text")
+    sets = only(reps, left.withColumnRenamed("doc", "doc_id"), ["doc_id", *KEY]).select("doc_id", "h", "text")
     tokens = staged(sets.mapInArrow(lean(run), "doc long, h long, n int, token long"), "tokens")
     often = staged(tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1"), "often")
     # the shingles of a set from this one on, in the order: as many as it can still share; those of one set alone come first
@@ -362,7 +362,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     if repeated:
         keyed = reps = keyed.join(same.select(F.col("rep").alias("doc_id"), *KEY), ["doc_id", *KEY], "left_semi").dropDuplicates(["doc_id", *KEY])
     else:
-        reps = keyed.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+        reps = only(keyed, same.select(F.col("rep").alias("doc_id")), ["doc_id"])
     cold, left, sizes = met(reps)
     links = set_links(cold, left, keyed)  # ids are of representatives from here on: no need to keep to their rows
     for t in (cold, left):
