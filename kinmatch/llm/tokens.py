@@ -3,9 +3,8 @@
 White space never lies inside a token of this tokenizer, so a text is the
 concatenation of its chunks between spaces and line feeds, and the ids of a
 chunk are kept from one text to the next (two generations of bounded bytes).
-Unknown chunks are encoded together by the library and told apart by offsets;
-lower-case words of Latin letters, which normalisation leaves as they are and
-pre-tokenisation never cuts, go straight to the library's model.
+Of unknown chunks, lower-case words of Latin letters, which normalisation leaves
+as they are and pre-tokenisation never cuts, go straight to the library's model.
 """
 
 from __future__ import annotations
@@ -14,8 +13,6 @@ import os
 import re
 from array import array
 
-import numpy as np
-
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes that a kept chunk takes besides its characters and ids.
 ENTRY = 160
@@ -39,70 +36,54 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class _Known(dict):
+    """Ids by chunk; a chunk that is not there yet is learnt when it is asked for."""
+
+    def __init__(self, learn):
+        super().__init__({"": b""})
+        self.learn, self.taken = learn, 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.learn(chunk)
+        self.taken += ENTRY + len(chunk) + len(ids)
+        return ids
+
+
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str, generation: int = 64 << 20):
+    def __init__(self, path: str, generation: int = 128 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.generation, self.taken, self.young, self.old = generation, 0, {"": b""}, {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.generation, self.young, self.old = generation, _Known(self._learn), {}
         self.marks = {m: self._ids(m) for m in ",."}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(_LETTERS)
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-
-    def _learn(self, unknown: set[str]) -> None:
-        fresh: dict[str, None] = {}
-        ended = []
-        for c in unknown:
-            if c in self.old:
-                self.young[c] = self.old[c]
-            elif c[-1:] in self.marks and c[:-1].isalpha():
-                ended.append(c)
-                if c[:-1] not in self.young:
-                    if c[:-1] in self.old:
-                        self.young[c[:-1]] = self.old[c[:-1]]
-                    else:
-                        fresh[c[:-1]] = None
-            else:
-                fresh[c] = None
-        for c in [c for c in fresh if c.isalpha() and c == c.lower() and not _OTHER.search(c)]:
-            self.young[c] = self._word(c)
-            del fresh[c]
-        words = list(fresh)
-        for i in range(0, len(words), 256):
-            block = words[i : i + 256]
-            got = self.tokenizer.encode(" ".join(block), add_special_tokens=False)
-            first = np.cumsum([0] + [len(w) + 1 for w in block])
-            owner = np.searchsorted(first, np.array([o[0] for o in got.offsets], dtype=np.int64), "right") - 1
-            cut = np.searchsorted(owner, np.arange(len(block) + 1)).tolist()
-            ids = np.array(got.ids, "<u4").tobytes()
-            for w, a, b in zip(block, cut, cut[1:], strict=False):
-                self.young[w] = ids[4 * a : 4 * b]
-        for c in ended:
-            self.young[c] = self.young[c[:-1]] + self.marks[c[-1]]
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, c: str) -> bytes:
+        if (ids := self.old.get(c)) is not None:
+            return ids
+        if c.isalpha():
+            if c.isascii() and c.islower():
+                return array("I", [t.id for t in self.tokenize(c)]).tobytes()
+            if c == c.lower() and not _OTHER.search(c):
+                return array("I", [t.id for t in self.tokenize(c.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+        elif c[-1] in self.marks and c[:-1].isalpha():
+            return self.young[c[:-1]] + self.marks[c[-1]]
+        return self._ids(c)
 
     def encode(self, text: str) -> bytes:
         if "<|" in text:  # may hold a special token: nothing is cut or lower-cased here
             return self._ids(text)
-        if not _OTHER.search(text):
+        if text.isascii() or not _OTHER.search(text):
             text = text.lower()
-        chunks = text.replace("\n", " ").split(" ")
-        if unknown := set(chunks).difference(self.young):
-            if self.taken > self.generation:
-                self.old, self.young, self.taken = self.young, {"": b""}, 0
-                unknown = set(chunks).difference(self.young)
-            self._learn(unknown)
-            self.taken += sum(ENTRY + len(c) + len(self.young[c]) for c in unknown)
-        return b"".join(map(self.young.__getitem__, chunks))
+        if self.young.taken > self.generation:
+            self.old, self.young = dict(self.young), _Known(self._learn)
+        return b"".join(map(self.young.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

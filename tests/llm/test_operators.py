@@ -106,8 +106,11 @@ def test_store_rebuilds_every_document(spark, tmp_path, odd):
         assert (bytes(r.ids), r.n_tokens, r.start) == (ids, len(ids) // 4, at)
         at += r.n_tokens
     stored = spark.read.parquet(str(tmp_path / "store/packs"))
-    hashes = [h for r in stored.collect() for h in [bytes(r.hashes[16 * i : 16 * i + 16]) for i in r.stored]]
+    hashes = [h for r in stored.collect() for h in [bytes(r.hashes[16 * i : 16 * i + 16]) for i in range(len(r.lengths) // 4) if i not in np.frombuffer(r.foreign, "<u4")]]
     assert len(hashes) == len(set(hashes))
+    for r in stored.collect():
+        own = sum(n for i, n in enumerate(np.frombuffer(r.lengths, "<u4").tolist()) if i not in np.frombuffer(r.foreign, "<u4"))
+        assert len(r.payload) == r.width * own
 
 
 def test_store_of_nothing_and_of_repeated_rows(spark, tmp_path, none, null_row):
