@@ -34,14 +34,22 @@ def false_positives(truth: DataFrame, scores: DataFrame, predictions: DataFrame,
     return df.withColumn("category", fp_category(F.col("score"), base_threshold(F.col("source")), F.col("n"), F.col("contested")))
 
 
-SCORE_EDGES = (0.0, 0.5, 0.8, 0.9, 0.93, 0.95, 0.97, 0.99)
+# Where the bins of a score end, by source.
+SCORE_EDGES = {"S2": (0.50, 0.80, 0.90, 0.93, 0.97, 0.99), "S3": (0.50, 0.80, 0.90, 0.95, 0.97, 0.99)}
 
 
-def score_bin(score: Column, edges: tuple[float, ...] = SCORE_EDGES) -> Column:
-    """Label of the half-open bin of `edges` (the last is closed at 1) that holds the score."""
+def score_bin(score: Column, source: Column) -> Column:
+    """Label of the half-open bin that holds the score of a pair of `source`; the first and the last are open."""
+
+    def of(edges: tuple[float, ...]) -> Column:
+        out = F.when(score < edges[0], f"<{edges[0]:.2f}")
+        for low, high in zip(edges, edges[1:], strict=False):
+            out = out.when(score < high, f"{low:.2f}-{high:.2f}")
+        return out.when(score >= edges[-1], f">={edges[-1]:.2f}")
+
     out = F.lit(None).cast("string")
-    for low, high in zip(edges, (*edges[1:], 1.0), strict=True):
-        out = F.when(score >= low, f"{low:.2f}-{high:.2f}").otherwise(out)
+    for name, edges in SCORE_EDGES.items():
+        out = F.when(source == name, of(edges)).otherwise(out)
     return out
 
 

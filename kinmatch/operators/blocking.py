@@ -2,7 +2,9 @@
 
 Postings are (source, country, kind, key, target); a key's cap drops the whole
 key, never a part of it, and is applied to the key's count before any posting
-is joined. All joins are equi-joins on (country, source, kind, key).
+is joined. All joins are equi-joins on (country, source, kind, key). Postings
+of either side and their counts are written once, by kind: each route reads
+only its own kind.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 ROUTES = ("exact_name", "core_name", "rare_name_token", "address_numeric", "postal", "strong_address")
 BASIC, CORE, TOKEN, NUMBER, POSTAL = range(5)
 KIND_NAMES = ("exact_name", "core_name", "name_token", "address_number", "postal")
@@ -65,41 +69,41 @@ def _hits(queries: DataFrame, capped: DataFrame, targets: DataFrame) -> DataFram
     return queries.join(capped, keys).join(targets.withColumnRenamed("id", "target"), keys).select("s1", "target", "source", "key", "n")
 
 
-def probes(records: DataFrame, kind: int, sources: DataFrame) -> DataFrame:
-    """The query keys of one kind, against each target source: s1, country, source, kind, key."""
-    mine = postings(records).where(F.col("kind") == kind).select("country", "kind", "key", F.col("id").alias("s1"))
+def probes(asked: DataFrame, kind: int, sources: DataFrame) -> DataFrame:
+    """The query keys of one kind, of the postings `asked`, against each target source: s1, country, source, kind, key."""
+    mine = asked.where(F.col("kind") == kind).select("country", "kind", "key", F.col("id").alias("s1"))
     return mine.join(F.broadcast(sources), how="cross")  # sources: the two labels of the target files
 
 
-def picked_tokens(records: DataFrame, freq: DataFrame, sources: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
-    """The rarest name tokens of three characters and more, at most four for each query and source."""
-    asked = probes(records, TOKEN, sources).where(F.length("key") >= 3)
-    found = asked.join(freq.where(F.col("n") <= limits.token), ["country", "source", "kind", "key"])
+def picked_tokens(asked: DataFrame, freq: DataFrame, sources: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
+    """The rarest name tokens, at most four for each query and source."""
+    found = probes(asked, TOKEN, sources).join(freq.where((F.col("kind") == TOKEN) & (F.col("n") <= limits.token)), ["country", "source", "kind", "key"])
     rank = F.row_number().over(Window.partitionBy("s1", "source").orderBy("n", "key"))
     return found.withColumn("rank", rank).where(F.col("rank") <= limits.tokens_picked).drop("rank")
 
 
 def routes(queries: DataFrame, targets: DataFrame, limits: Limits = Limits()) -> dict[str, DataFrame]:  # noqa: B008
     """Each route as (s1, target, source); the token route also counts shared informative tokens (`shared`)."""
-    posted = postings(targets)
-    freq = frequency(posted)
-    sources = targets.select("source").distinct()
+    posted, asked = staged(postings(targets), "postings", ("kind",)), staged(postings(queries), "probes", ("kind",))
+    freq = staged(frequency(posted), "frequency", ("kind",))
+    sources = staged(targets.select("source").distinct(), "sources")
     of = lambda kind: posted.where(F.col("kind") == kind)
     capped = lambda kind, cap: freq.where((F.col("kind") == kind) & (F.col("n") <= cap))
     pair = ["s1", "target", "source"]
     out = {
-        "exact_name": _hits(probes(queries, BASIC, sources), capped(BASIC, limits.exact), of(BASIC)).select(pair),
-        "core_name": _hits(probes(queries, CORE, sources).where(F.length("key") >= 3), capped(CORE, limits.core), of(CORE)).select(pair),
+        "exact_name": _hits(probes(asked, BASIC, sources), capped(BASIC, limits.exact), of(BASIC)).select(pair),
+        "core_name": _hits(probes(asked, CORE, sources).where(F.length("key") >= 3), capped(CORE, limits.core), of(CORE)).select(pair),
     }
-    picked = picked_tokens(queries, freq, sources, limits)
+    picked = picked_tokens(asked, freq, sources, limits)
     keys = ["country", "source", "kind", "key"]
     token_hits = picked.join(of(TOKEN).withColumnRenamed("id", "target"), keys).select(*pair, "key", "n")
     told = token_hits.groupBy(pair).agg(F.count_if(F.col("n") <= limits.informative_token).alias("shared"), F.bool_or(F.col("n") <= limits.rare_token).alias("rare"))
+    told = staged(told, "token-hits")
     out["rare_name_token"] = told.where((F.col("shared") >= 2) | F.col("rare")).select(*pair, "shared")
     held = told.select(pair)
-    number_hits = _hits(probes(queries, NUMBER, sources), capped(NUMBER, limits.number), of(NUMBER))
+    number_hits = staged(_hits(probes(asked, NUMBER, sources), capped(NUMBER, limits.number), of(NUMBER)), "number-hits")
     out["address_numeric"] = number_hits.select(pair).distinct().join(held, pair)
-    out["postal"] = _hits(probes(queries, POSTAL, sources), capped(POSTAL, limits.postal), of(POSTAL)).select(pair).distinct().join(held, pair)
+    out["postal"] = _hits(probes(asked, POSTAL, sources), capped(POSTAL, limits.postal), of(POSTAL)).select(pair).distinct().join(held, pair)
     long_numbers = number_hits.where((F.length("key") >= 3) & (F.col("n") <= limits.strong_number)).select(pair).distinct()
     words = lambda df, key, name: df.select(F.col("entity_id").alias(key), F.col("strong_words").alias(name))
     both = long_numbers.join(words(queries, "s1", "_a"), "s1").join(words(targets, "target", "_b"), "target")

@@ -13,6 +13,8 @@ ENTITY = "entity_id string, business_name string, business_address string, count
 def normalized(entities: DataFrame) -> DataFrame:
     """entity_id, source, country, basic, core, their tokens, address forms, numbers and postals.
 
+    `name_tokens`, those of the index, are the tokens of the core name of three characters and more: legal forms are none.
+
     Postal codes of the US are cut to five digits and digits of postal codes
     are not numbers in the record view (`numbers`, `postals`); the index view
     (`all_numbers`, `all_postals`) keeps both whole.
@@ -33,7 +35,7 @@ def normalized(entities: DataFrame) -> DataFrame:
     cut = F.transform("all_postals", lambda p: F.when(F.col("country") == "us", F.substring(p, 1, 5)).otherwise(p))
     return df.select(
         "entity_id", "source", "country", "basic", "core", "address", "standard",
-        F.array_distinct(T.tokens(F.col("basic"))).alias("name_tokens"),
+        F.array_distinct(F.filter(T.tokens(F.col("core")), lambda t: F.length(t) >= 3)).alias("name_tokens"),
         F.array_distinct(T.tokens(F.col("core"))).alias("core_tokens"),
         F.array_distinct(T.tokens(F.col("standard"))).alias("address_words"),
         T.strong_words(T.tokens(F.col("standard"))).alias("strong_words"),

@@ -106,18 +106,25 @@ def token_top_k(queries: DataFrame, targets: DataFrame, k: int = 50, most: int =
     return top_k(scored, k).select("s1", "target", "source", "score", "rank")
 
 
-def bm25_top_k(queries: DataFrame, targets: DataFrame, words: str = "basic", k: int = 20, most: int = 8, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+#: A field of BM25: its indexed text, the text that asks, and the fewest characters of a token that asks.
+BM25_FIELDS = {"name": ("basic", "core", 2), "address": ("address", "address", 3)}
+
+
+def bm25_top_k(queries: DataFrame, targets: DataFrame, field: str = "name", k: int = 20, most: int = 8, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Okapi BM25 over one field; the first eight distinct tokens of a query ask, and a country is required."""
-    tokens = F.filter(F.split(words, " "), lambda w: w != "")
-    asked = queries.where(F.col("country") != "").select(F.col("entity_id").alias("s1"), "country", F.explode(F.slice(F.array_distinct(tokens), 1, most)).alias("term"))
+    held, asks, least = BM25_FIELDS[field]
+    tokens = F.filter(F.split(held, " "), lambda w: w != "")
+    words = F.array_distinct(F.filter(F.split(asks, " "), lambda w: F.length(w) >= least))
+    asked = queries.where(F.col("country") != "").select(F.col("entity_id").alias("s1"), "country", F.explode(F.slice(words, 1, most)).alias("term"))
     posted = targets.select(F.col("entity_id").alias("target"), *PLACE, F.size(tokens).alias("len"), F.explode(tokens).alias("term"))
     tf = posted.groupBy("target", *PLACE, "len", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     size = targets.agg(F.count("*").alias("N"), F.avg(F.size(tokens)).alias("mean"))
     idf = F.greatest(F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    hits = asked.join(df, "term").join(tf, ["country", "term"]).join(F.broadcast(size), how="cross")
-    scored = hits.groupBy("s1", "source", "target").agg(F.round(F.sum(idf * gain), 8).alias("score"))
+    # a posting's gain is known before the join: a row a posting is as narrow as can be
+    gains = tf.join(df, "term").join(F.broadcast(size), how="cross").select("target", *PLACE, "term", (idf * gain).alias("gain"))
+    scored = asked.join(gains, ["country", "term"]).groupBy("s1", "source", "target").agg(F.round(F.sum("gain"), 8).alias("score"))
     return top_k(scored, k).select("s1", "target", "source", "score", "rank")
 
 

@@ -42,10 +42,10 @@ def repeated(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1")
 
 
-def check_entities(entities: DataFrame, prefix: str) -> DataFrame:
-    """Ids of a wrong shape, and repeated ids."""
+def check_entities(entities: DataFrame, *prefixes: str) -> DataFrame:
+    """Ids of a wrong shape (none of the prefixes, no tail, white space), and repeated ids."""
     return union([
-        offenders(entities.where(~F.coalesce(valid_id(F.col("entity_id"), prefix), F.lit(False))), "bad_id", "entity_id"),
+        offenders(entities.where(~F.coalesce(valid_id(F.col("entity_id"), f"(?:{'|'.join(prefixes)})"), F.lit(False))), "bad_id", "entity_id"),
         offenders(repeated(entities, "entity_id"), "repeated_id", "entity_id"),
     ])
 

@@ -235,10 +235,9 @@ def hash_split(spark, d):
     return S.split(R.universe(spark, d), 0.9)
 
 
-@query("pair_hash", with_cte("t", "SELECT s1, target, sha256('20260925' || chr(31) || s1 || chr(31) || target) AS hash FROM t"))
+@query("pair_hash", with_cte("t", "SELECT s1, target, sha256(encode('20260925') || '\\x00'::BLOB || encode(s1::VARCHAR) || '\\x00'::BLOB || encode(target::VARCHAR)) AS hash FROM t"))
 def pair_hash(spark, d):
-    text = lambda c: F.col(c).cast("string")
-    return R.truth(spark, d).withColumn("hash", S.digest("\x1f", F.lit(S.SEED), text("s1"), text("target")))
+    return R.truth(spark, d).withColumn("hash", S.pair_hash(F.col("s1").cast("string"), F.col("target").cast("string")))
 
 
 @query("hash_sample", with_cte("u", "SELECT s1 FROM u ORDER BY sha256('20260925|' || s1), s1 LIMIT 200"))
@@ -263,13 +262,13 @@ def labelled(spark, d):
     return df.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("score"), "target")), "crowd": F.count("*").over(w) > 100})
 
 
-@query("negative_sample", with_cte("m cs ct", "").strip() + _LABELLED + """, q AS (SELECT *, sha256('20260925' || chr(31) || s1 || chr(31) || target) AS h, CASE WHEN label = 0 THEN (target % 9)::INT END AS priority FROM l),
+@query("negative_sample", with_cte("m cs ct", "").strip() + _LABELLED + """, q AS (SELECT *, sha256(encode('20260925') || '\\x00'::BLOB || encode(s1::VARCHAR) || '\\x00'::BLOB || encode(target::VARCHAR)) AS h, CASE WHEN label = 0 THEN (target % 9)::INT END AS priority FROM l),
 e AS (SELECT *, label = 0 AND priority >= 6 AND row_number() OVER (PARTITION BY s1, label = 0 AND priority >= 6 ORDER BY h) = 1 AS is_easy FROM q),
 f AS (SELECT *, max(is_easy::INT) OVER (PARTITION BY s1) AS some_easy, row_number() OVER (PARTITION BY s1, label = 0 AND NOT is_easy ORDER BY priority, rank, h, target) AS r FROM e)
 SELECT s1, target, label, coalesce(is_easy, false) AS is_easy FROM f WHERE label = 1 OR is_easy OR r <= 12 - some_easy""")
 def negative_sample(spark, d):
     df = labelled(spark, d).withColumn("priority", F.when(F.col("label") == 0, (F.col("target") % 9).cast("int")))
-    return S.sample_negatives(df, separator="\x1f").select("s1", "target", "label", "is_easy")
+    return S.sample_negatives(df).select("s1", "target", "label", "is_easy")
 
 
 @query("reranker_sample", with_cte("m cs ct", "").strip() + _LABELLED + """, q AS (SELECT *, sha256('20260925' || chr(31) || s1 || chr(31) || target) AS h, CASE WHEN score >= 0.9 THEN 6 WHEN score >= 0.75 THEN 4 WHEN score >= 0.5 THEN 3 ELSE 2 END AS cap, label = 0 AND (rank <= 3 OR crowd) AS ext FROM l),
@@ -298,11 +297,12 @@ def fp_categories(spark, d):
     return A.false_positives(R.truth(spark, d), sc, P.resolve(selected), selected).groupBy("source", "category").agg(F.count("*").alias("links"))
 
 
-@query("score_bins", with_cte("t m sc", """SELECT source, CASE WHEN score >= 0.99 THEN '0.99-1.00' WHEN score >= 0.97 THEN '0.97-0.99' WHEN score >= 0.95 THEN '0.95-0.97' WHEN score >= 0.93 THEN '0.93-0.95' WHEN score >= 0.9 THEN '0.90-0.93' WHEN score >= 0.8 THEN '0.80-0.90' WHEN score >= 0.5 THEN '0.50-0.80' ELSE '0.00-0.50' END AS bin, count(*) AS pairs, count(t.s1) AS true_links
+@query("score_bins", with_cte("t m sc", """SELECT source, CASE WHEN score < 0.5 THEN '<0.50' WHEN score < 0.8 THEN '0.50-0.80' WHEN score < 0.9 THEN '0.80-0.90' WHEN source = 'S2' AND score < 0.93 THEN '0.90-0.93' WHEN source = 'S2' AND score < 0.97 THEN '0.93-0.97'
+WHEN source = 'S3' AND score < 0.95 THEN '0.90-0.95' WHEN source = 'S3' AND score < 0.97 THEN '0.95-0.97' WHEN score < 0.99 THEN '0.97-0.99' ELSE '>=0.99' END AS bin, count(*) AS pairs, count(t.s1) AS true_links
 FROM sc LEFT JOIN t ON sc.s1 = t.s1 AND sc.target = t.target GROUP BY 1, 2"""))
 def score_bins(spark, d):
     df = R.scores(spark, d).join(R.truth(spark, d).withColumn("t", F.lit(1)), ["s1", "target"], "left")
-    return df.groupBy("source", A.score_bin(F.col("score")).alias("bin")).agg(F.count("*").alias("pairs"), F.count("t").alias("true_links"))
+    return df.groupBy("source", A.score_bin(F.col("score"), F.col("source")).alias("bin")).agg(F.count("*").alias("pairs"), F.count("t").alias("true_links"))
 
 
 @query("slice_metrics", with_cte("cu ct m cs", """, own2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, s1) AS r FROM cs WHERE score >= CASE WHEN source = 'S2' THEN 0.93 ELSE 0.97 END) WHERE r = 1),

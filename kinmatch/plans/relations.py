@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import LEGAL_SUFFIXES
 from ..operators import records
+from ..sources.staging import staged
 from ..sources.tables import table
 
 CTE = {
@@ -101,7 +103,7 @@ def part_entities(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-ENDS = "limited liability company|l l c|l l p|private limited|pvt limited|pvt ltd|l p|p c|incorporated|corporation|company|limited|private|pvt|inc|corp|llc|llp|lp|pc|ltd|co|sas|sarl|eurl|snc|gmbh|srl"
+ENDS = "|".join(LEGAL_SUFFIXES)
 DOC_CTE = rf"""
 e0 AS (
   SELECT 'S' || (1 + doc_id % 3) || '-' || doc_id AS entity_id, 'S' || (1 + doc_id % 3) AS source, lang AS country,
@@ -117,6 +119,8 @@ PART_CTE = """
 e AS (
   SELECT 'S' || (1 + p_partkey % 3) || '-' || p_partkey AS entity_id, 'S' || (1 + p_partkey % 3) AS source, lower(p_type) AS country,
     trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS basic,
+    regexp_replace(trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')), '(?:(?:^| )(?:""" + ENDS + r"""))+$', '') AS core,
+    trim(regexp_replace(lower(p_size || ' ' || p_type || ' road'), '[^a-z0-9]+', ' ', 'g')) AS plain_address,
     list_distinct([p_size::VARCHAR]) AS numbers,
     list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_size || ' ' || p_type || ' road'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 4 AND NOT regexp_matches(w, '^[0-9]+$'))) AS words
   FROM part
@@ -124,6 +128,6 @@ e AS (
 
 
 def queries_and_targets(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The first source asks; the other two are asked."""
-    df = records.normalized(entities)
+    """The first source asks; the other two are asked. Records are normalised once, and written by source."""
+    df = staged(records.normalized(entities), "records", ("source",))
     return df.where("source = 'S1'"), df.where("source <> 'S1'")

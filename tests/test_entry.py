@@ -1,7 +1,9 @@
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from kinmatch.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -9,7 +11,7 @@ SLOW = {"gbdt_out_of_fold", "prefix_policy"}
 
 
 def names():
-    return sorted(n for n in entry.oracle_sql() if not n.startswith("op") and n != "pipeline")
+    return sorted(registry.oracle_sql())
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +24,7 @@ def db():
 
 def rows(pdf):
     def show(x):
-        if x is None or x != x:
+        if pd.isna(x):
             return "null"
         if isinstance(x, bool):
             return str(x)
@@ -34,6 +36,7 @@ def rows(pdf):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
+    assert registry.queries().keys() <= entry.queries().keys() and entry.oracle_sql().keys() <= entry.queries().keys()
 
 
 @pytest.mark.parametrize("name", names())
@@ -42,6 +45,6 @@ def test_query_equals_its_sql(spark, db, name):
 
 
 def test_queries_without_sql_run(spark):
-    left = [n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith("op") and n != "pipeline" and n not in SLOW]
+    left = [n for n in registry.queries() if n not in registry.oracle_sql() and n not in SLOW]
     for n in left:
         entry.queries()[n](spark, DATA).count()

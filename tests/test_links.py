@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,9 +17,20 @@ def ids(spark, d):
     return spark.createDataFrame([(k,) for k in d], "s1 string")
 
 
-TRUTH = {"A": ["S2-X"], "B": [], "C": [], "D": ["S2-A", "S3-B"], "E": ["S3-Q"]}
-PRED = {"A": ["S2-X"], "B": [], "C": ["S3-Z"], "D": ["S2-A"], "E": ["S2-W"]}
-CAND = {"A": ["S2-X"], "B": [], "C": ["S3-Z"], "D": ["S2-A", "S3-B"], "E": ["S2-W"]}
+TRUTH = {"k1": ["S2-1", "S3-1"], "k2": ["S2-2"], "k3": [], "k4": ["S3-4", "S3-5", "S2-6"], "k5": [], "k6": ["S2-7"]}
+PRED = {"k1": ["S2-1"], "k2": ["S2-2", "S3-9"], "k3": [], "k4": ["S3-4", "S2-6"], "k5": ["S2-8"], "k6": ["S3-7"]}
+CAND = {"k1": ["S2-1", "S3-1"], "k2": ["S2-2", "S3-9", "S2-3"], "k3": ["S3-2"], "k4": ["S3-4", "S2-6"], "k5": ["S2-8"], "k6": ["S3-7"]}
+
+
+def pairs(d):
+    return {(k, t) for k, ts in d.items() for t in ts}
+
+
+def f05(truth, told):
+    tp = len(set(truth) & set(told))
+    return 1.0 if not truth and not told else 0.0 if not tp else 1.25 * tp / (1.25 * tp + 0.25 * (len(truth) - tp) + len(told) - tp)
+
+
 def source():
     return F.substring("target", 1, 2)
 
@@ -32,25 +44,31 @@ def test_entity_score(spark, truth, told, expected):
 
 def test_macro_report(spark):
     r = M.macro_f05(links(spark, TRUTH), links(spark, PRED), ids(spark, TRUTH)).first()
-    assert (r.tp, r.fp, r.fn) == (2, 2, 2) and r.macro_f05 == pytest.approx(17 / 30)
-    assert (r.true_singletons, r.predicted_singletons, r.correct_singletons, r.false_merges) == (2, 1, 1, 1)
+    t, p = pairs(TRUTH), pairs(PRED)
+    assert (r.tp, r.fp, r.fn) == (len(t & p), len(p - t), len(t - p)) and r.macro_f05 == pytest.approx(sum(f05(TRUTH[k], PRED[k]) for k in TRUTH) / len(TRUTH))
+    empty = [k for k in TRUTH if not TRUTH[k]]
+    assert (r.true_singletons, r.predicted_singletons, r.correct_singletons, r.false_merges) == (len(empty), sum(not v for v in PRED.values()), sum(not PRED[k] for k in empty), sum(bool(PRED[k]) for k in empty))
 
 
 def test_candidate_diagnostics(spark):
-    r = {x.source: x for x in M.candidate_diagnostics(links(spark, TRUTH), links(spark, PRED), links(spark, CAND), source()).collect()}
-    assert r["S2"].candidate_recall == 1 and r["S3"].candidate_recall == 0.5
-    assert sum(x.blocking_misses for x in r.values()) == 1 and sum(x.model_misses for x in r.values()) == 1
+    t, p, c = pairs(TRUTH), pairs(PRED), pairs(CAND)
+    for r in M.candidate_diagnostics(links(spark, TRUTH), links(spark, PRED), links(spark, CAND), source()).collect():
+        own = {x for x in t if x[1].startswith(r.source)}
+        assert r.candidate_recall == pytest.approx(len(own & c) / len(own))
+        assert (r.blocking_misses, r.model_misses) == (len(own - c), len((own & c) - p))
 
 
 def test_candidate_sizes(spark):
     r = M.distribution(M.sizes(ids(spark, CAND), links(spark, CAND))).first()
-    assert (r["mean"], r["median"], r.p90, r.p95, r.p99, r["max"]) == pytest.approx((1.0, 1.0, 1.6, 1.8, 1.96, 2))
+    n = np.array([len(v) for v in CAND.values()])
+    assert (r["mean"], r["median"], r.p90, r.p95, r.p99, r["max"]) == pytest.approx((n.mean(), np.median(n), *np.percentile(n, [90, 95, 99]), n.max()))
 
 
 def test_candidate_comparison(spark):
-    new = {"A": ["S2-X"], "C": ["S3-Z"], "D": ["S2-A", "S3-B"], "E": ["S2-W", "S3-Q"]}
-    r = M.compare_candidates(links(spark, TRUTH), links(spark, {"A": ["S2-X"], "D": ["S2-A"]}), links(spark, new)).first()
-    assert (r.old_misses, r.recovered, r.new_misses, r.growth) == (2, 2, 0, 4)
+    old = {"k1": ["S2-1"], "k4": ["S2-6"], "k5": ["S3-3"]}
+    r = M.compare_candidates(links(spark, TRUTH), links(spark, old), links(spark, CAND)).first()
+    t, a, b = pairs(TRUTH), pairs(old), pairs(CAND)
+    assert (r.old_misses, r.recovered, r.new_misses, r.growth) == (len(t - a), len((t - a) & b), len(t - b), len(b) - len(a))
 
 
 def scores(spark):
