@@ -19,6 +19,11 @@ def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` by its keys over all shuffle partitions: its rows are few, but what they join with makes many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def terms(records: DataFrame, words: Column | str, out: str = "id") -> DataFrame:
     """One row for each distinct word of each record."""
     return records.select(F.col("entity_id").alias(out), *([] if out == "s1" else ["source"]), "country", F.explode(words).alias("term"))
@@ -40,7 +45,7 @@ def address_top_k(queries: DataFrame, targets: DataFrame, k: int = 10, cap: int
     posted = terms(targets, "strong_words").withColumnRenamed("id", "target")
     picked = rarest(terms(queries, "strong_words", "s1"), document_frequency(posted), most, cap)
     idf = F.log1p(F.lit(float(n_targets)) / (F.col("df") + 1))
-    scored = picked.join(posted, [*PLACE, "term"]).groupBy("s1", "source", "target").agg(F.sum(idf).alias("idf_sum"))
+    scored = dealt(picked, *PLACE, "term").join(dealt(posted, *PLACE, "term"), [*PLACE, "term"]).groupBy("s1", "source", "target").agg(F.sum(idf).alias("idf_sum"))
     best = top_k(scored, first, "idf_sum").drop("rank")
     side = lambda df, key, p: df.select(F.col("entity_id").alias(key), F.col("all_numbers").alias(f"{p}n"), F.col("all_postals").alias(f"{p}p"))
     both = best.join(side(queries, "s1", "l"), "s1").join(side(targets, "target", "r"), "target")
@@ -101,7 +106,7 @@ def token_top_k(queries: DataFrame, targets: DataFrame, k: int = 50, most: int =
     held = posted.join(df.where(F.col("df") > read), [*PLACE, "term"]).withColumn("_o", place).where(F.col("_o") <= read).select(posted.columns)
     held = held.unionByName(posted.join(df.where(F.col("df") <= read).drop("df"), [*PLACE, "term"]).select(posted.columns))
     idf = F.log(1 + (F.col("N") + 0.5) / (F.col("df") + 0.5))
-    scored = picked.withColumn("idf", idf).select("s1", *PLACE, "term", "idf").join(held, [*PLACE, "term"])
+    scored = dealt(picked.withColumn("idf", idf).select("s1", *PLACE, "term", "idf"), *PLACE, "term").join(dealt(held, *PLACE, "term"), [*PLACE, "term"])
     scored = scored.groupBy("s1", "source", "target").agg(F.round(F.sum("idf"), 8).alias("score"))
     return top_k(scored, k).select("s1", "target", "source", "score", "rank")
 
@@ -124,7 +129,7 @@ def bm25_top_k(queries: DataFrame, targets: DataFrame, field: str = "name", k: i
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     # a posting's gain is known before the join: a row a posting is as narrow as can be
     gains = tf.join(df, "term").join(F.broadcast(size), how="cross").select("target", *PLACE, "term", (idf * gain).alias("gain"))
-    scored = asked.join(gains, ["country", "term"]).groupBy("s1", "source", "target").agg(F.round(F.sum("gain"), 8).alias("score"))
+    scored = dealt(asked, "country", "term").join(dealt(gains, "country", "term"), ["country", "term"]).groupBy("s1", "source", "target").agg(F.round(F.sum("gain"), 8).alias("score"))
     return top_k(scored, k).select("s1", "target", "source", "score", "rank")
 
 

@@ -282,10 +282,12 @@ def retrieval_equality(spark, d):
 
 
 def evidence(spark, d):
-    q, t = asked(spark, d)
+    """Candidate pairs of parts that the address ranks or two routes found, with what either knows of them, and all records."""
+    q, t = part_pair(spark, d)
     df = RT.union_candidates(B.retrieve(q, t), RT.address_top_k(q, t))
+    df = df.where("from_address = 1 or bit_count(route_mask) >= 2")
     n = df.groupBy("s1", "source").agg(F.count("*").alias("candidate_count_source"))
-    return df.join(n, ["s1", "source"]), q.unionByName(t)
+    return staged(df.join(n, ["s1", "source"]), "pairs"), q.unionByName(t)
 
 
 @query("pair_overlaps", f"""WITH {DOC_CTE}{ROUTES}, k AS (SELECT entity_id, list_distinct(string_split(core, ' ')) AS ct, numbers FROM e)
@@ -303,7 +305,7 @@ def pair_overlaps(spark, d):
 
 @query("heuristic_scores")
 def heuristic_scores(spark, d):
-    """Points and rules of the candidate pairs of documents; character ratios have no SQL here: tested on worked pairs."""
+    """Points and rules of the candidate pairs of parts; character ratios have no SQL here: tested on worked pairs."""
     pairs, every = evidence(spark, d)
     df = PR.signals(PR.paired(pairs.select("s1", "target", "source", "route_mask"), every))
     return df.select("s1", "target", "source", PR.heuristic_score().alias("score"), *[v.alias(k) for k, v in PR.rule_flags().items()])
@@ -311,11 +313,8 @@ def heuristic_scores(spark, d):
 
 @query("pair_features")
 def pair_features(spark, d):
-    """All 48 + 7 features of the candidate pairs of parts, with the routes and address ranks that found them; tested on worked pairs."""
-    q, t = part_pair(spark, d)
-    df = RT.union_candidates(B.retrieve(q, t), RT.address_top_k(q, t))
-    n = df.groupBy("s1", "source").agg(F.count("*").alias("candidate_count_source"))
-    df = PR.paired(staged(df.join(n, ["s1", "source"]), "pairs"), q.unionByName(t))
+    """All 48 + 7 features of the candidate pairs of parts; tested on worked pairs."""
+    df = PR.paired(*evidence(spark, d))
     df = df.select("s1", "target", "source", *[v.alias(k) for k, v in PR.features(df).items()])
     return df.select("*", *[v.alias(k) for k, v in PR.extra_features().items()])
 

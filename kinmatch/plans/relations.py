@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import LEGAL_SUFFIXES
 from ..operators import records
-from ..sources.staging import staged
+from ..sources.staging import spread, staged
 from ..sources.tables import table
 
 CTE = {
@@ -129,5 +129,5 @@ e AS (
 
 def queries_and_targets(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The first source asks; the other two are asked. Records are normalised once, and written by source."""
-    df = staged(records.normalized(entities), "records", ("source",))
+    df = staged(records.normalized(spread(entities)), "records", ("source",))
     return df.where("source = 'S1'"), df.where("source <> 'S1'")

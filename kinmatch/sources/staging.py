@@ -27,3 +27,9 @@ def staged(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     path = f"{shared_dir(spark)}/kinmatch/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, where its files make fewer partitions than there are cores; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
