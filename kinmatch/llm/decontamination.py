@@ -1,16 +1,18 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and test items are compared as lower-cased words with one space between
-them. An item of n characters may differ in e = max(1, floor(BUDGET * n))
-edits: it is cut into e + 1 pieces, of which one must stand unchanged in any
-passage within the budget. All pieces are found in one pass by an Aho-Corasick
+them. An item of n characters may differ in e = floor(BUDGET * n) edits: it is
+cut into e + 1 pieces, of which one must stand unchanged in any passage within
+the budget. An item of fewer than SHORT characters says too little to be found
+inside words or with edits: it must stand as it is, as whole words. All pieces are found in one pass by an Aho-Corasick
 automaton, and the window around each hit is verified by Myers' bit-parallel
 edit distance. The automaton is built from the whole test set, in blocks of at
 most BLOCK characters of items, so a task's memory does not grow with it.
 
 Nulls and empty texts hold no item; null or empty items are held by nothing.
 Of several places of an item in a document the first with the smallest
-distance is told. Repeated rows, items and ties are each judged by themselves.
+distance is told. Repeated rows and ties are each judged by themselves; rows of
+the test set that are equal in id and text are one item.
 Empty tables give no row. Further columns are kept by `decontaminate` and
 passed by otherwise.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_batches, lean, table
 
-BUDGET, BLOCK = 0.08, 4_000_000
+BUDGET, BLOCK, SHORT = 0.08, 4_000_000, 20
 
 
 @dataclass(frozen=True)
@@ -89,6 +91,8 @@ class Matcher:
         for last, (n, where) in self.automaton.iter(text):
             for k, at in where:
                 item = self.items[k]
+                if len(item.text) < SHORT and (text[last - n : last - n + 1].strip() if last >= n else "") + text[last + 1 : last + 2].strip():
+                    continue
                 a = last + 1 - n - at - item.budget
                 b = last + 1 - n - at + len(item.text) + item.budget
                 spans = windows.setdefault(k, [])
@@ -117,7 +121,7 @@ def items_of(benchmark: DataFrame, budget: float = BUDGET) -> list[list[Item]]:
                 blocks.append([])
                 size = 0
             size += len(text)
-            blocks[-1].append(Item(r.item_id, text, max(1, int(budget * len(text)))))
+            blocks[-1].append(Item(r.item_id, text, 0 if len(text) < SHORT else int(budget * len(text))))
     return [b for b in blocks if b]
 
 

@@ -11,8 +11,10 @@ again, until nothing new comes up. Layers already seen in the document are not
 taken twice, which ends cycles. What is found in a layer is told by its span in
 the base text.
 
-Decompressed layers are read up to LAYER_BYTES (a guard against bombs; the base
-text itself has no bound). Nulls and empty texts hold nothing. Repeated rows
+A stream that unpacks to more than WINDOW bytes is read on in windows, each a
+layer, so that memory is bounded and nothing is left out: windows are cut after
+a control character, which no secret holds, and where none stands in a window
+(a bomb of one long run), they overlap by OVERLAP bytes instead. Nulls and empty texts hold nothing. Repeated rows
 are scanned by themselves; equal spans of one kind are told once. An empty
 table gives no row. Further columns are kept by `redact`, passed by otherwise.
 """
@@ -37,7 +39,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex")
 
-LAYER_BYTES = 64 << 20
+WINDOW, OVERLAP = 64 << 20, 1 << 20
+_CONTROL = re.compile(rb"[\x00-\x1f\x7f]")
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORD = re.compile(r"(?ai:passw|secret|token|api_?key)")
 _RUN = re.compile(r"[^\s\"'<>]+")
@@ -138,25 +141,44 @@ def _text(data: bytes, first: list[int], last: list[int]) -> Layer:
     return text.translate(_STRAY), a, b
 
 
-def _unpacked(data: memoryview) -> tuple[bytes, int, bool]:
-    """What the stream at the start of `data` holds, as far as it can be read, the bytes it takes, and whether it is whole."""
+def _reader(data: memoryview):
     if data[:2] == b"\x1f\x8b":
-        reader = zlib.decompressobj(31)
-    elif data[:3] == b"BZh":
-        reader = bz2.BZ2Decompressor()
-    elif data[:1] == b"\xfd":
-        reader = lzma.LZMADecompressor()
-    else:
-        reader = zlib.decompressobj()
-    out, at = bytearray(), 0
+        return zlib.decompressobj(31)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:1] == b"\xfd":
+        return lzma.LZMADecompressor()
+    return zlib.decompressobj()
+
+
+def _extent(data: memoryview) -> tuple[int, int, bool]:
+    """How far the stream at the start of `data` can be read: bytes it gives, bytes it takes, and whether it is whole."""
+    reader, at, given = _reader(data), 0, 0
+    try:
+        while at < len(data) and not reader.eof:  # in steps, so that bytes before a fault are kept
+            step = data[at : at + 256]
+            at += len(step)
+            given += len(reader.decompress(step))
+    except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
+        return given, at, False
+    return given, at - len(reader.unused_data), reader.eof
+
+
+def _unpacked(data: memoryview, window: int = WINDOW, overlap: int = OVERLAP):
+    """What the stream at the start of `data` gives, in windows."""
+    reader, at, out = _reader(data), 0, bytearray()
     try:
-        while at < len(data) and not reader.eof and len(out) < LAYER_BYTES:  # in steps, so that bytes before a fault are kept
+        while at < len(data) and not reader.eof:
             step = data[at : at + 256]
             at += len(step)
-            out += reader.decompress(step, LAYER_BYTES - len(out))
+            out += reader.decompress(step)
+            while len(out) > window + overlap:
+                cut = max((m.end() for m in _CONTROL.finditer(out, window - overlap, window)), default=0)
+                yield bytes(out[: cut or window])
+                del out[: cut or window - overlap]
     except (OSError, EOFError, zlib.error, lzma.LZMAError, ValueError):
-        return bytes(out), at, False
-    return bytes(out), at - len(reader.unused_data), reader.eof
+        pass
+    yield bytes(out)
 
 
 def _packed(data: bytes, first: list[int], last: list[int], end: int | None = None):
@@ -169,16 +191,18 @@ def _packed(data: bytes, first: list[int], last: list[int], end: int | None = No
         now, span = work.pop()
         at = 0
         while (m := _MAGIC.search(now, at)) is not None:
-            out, used, whole = _unpacked(memoryview(now)[m.start() :])
+            stream = memoryview(now)[m.start() :]
+            given, used, whole = _extent(stream)
             stop = m.start() + used
             at = stop if whole else m.start() + 1
-            key = hashlib.blake2b(out, digest_size=16).digest()
-            if not out or key in seen:
-                continue
-            seen.add(key)
-            a, b = span or (first[m.start()], last[stop - 1] if stop < len(data) or end is None else end)
-            yield _text(out, [a] * len(out), [b] * len(out))
-            work.append((out, (a, b)))
+            for out in _unpacked(stream) if given else ():
+                key = hashlib.blake2b(out, digest_size=16).digest()
+                if not out or key in seen:
+                    continue
+                seen.add(key)
+                a, b = span or (first[m.start()], last[stop - 1] if stop < len(data) or end is None else end)
+                yield _text(out, [a] * len(out), [b] * len(out))
+                work.append((out, (a, b)))
 
 
 def _base64(s: str, starts, ends):

@@ -1,7 +1,7 @@
 """K-d tree sharding: units of equal text are split at distributed weighted medians.
 
-A unit is all copies of one text (heavier ones are dealt over pieces by
-doc_id). Its metadata dimensions are the logarithm of its size, a code of its
+A unit is all copies of one text. Only where they outweigh GRAIN of a shard,
+more than near equal shards allow, they are dealt over pieces by doc_id. Its metadata dimensions are the logarithm of its size, a code of its
 language and one of its source, each on a grid of 4096 steps. A node that must
 hold k shards is cut at the weight floor(k/2)/k along its widest dimension
 until it holds one; ties along the dimension are ordered by a hash, so that
@@ -27,7 +27,7 @@ DIMS = ("k_size", "k_lang", "k_source")
 #: A cut is a number of 44 bits: 12 of the dimension, 32 of the tie-breaking hash.
 RADIX = ((28, 16), (14, 14), (0, 14))
 #: Copies of one text weighing more than this share of a shard are dealt over pieces.
-GRAIN = 0.02
+GRAIN = 0.1
 
 
 @dataclass
