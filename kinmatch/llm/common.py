@@ -39,13 +39,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of ids (8 bytes each) that are broadcast at most; more are joined by a shuffle.
+#: Rows of ids (a few numbers each) that are broadcast at most; more are joined by a shuffle.
 MOST_IDS = 1_000_000
 
 
+def counted(ids: DataFrame) -> DataFrame:
+    """Staged rows of a few numbers, to be broadcast where their count allows."""
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+
+
 def only(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of `df` whose `keys` (numbers) are in the staged `ids`, which are counted before they are broadcast."""
-    return df.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, keys, "left_semi")
+    """The rows of `df` whose `keys` (numbers) are in the staged `ids`."""
+    return df.join(counted(ids), keys, "left_semi")
 
 
 def clean_text(col: Column | str = "text") -> Column:

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, clean_text, drop_staged, give_back, lean, only, partitions, staged, table
+from .common import arrow_batches, clean_text, counted, drop_staged, give_back, lean, only, partitions, staged, table
 from .components import components
 
 WORDS = 5
@@ -262,7 +262,7 @@ def verify(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     ids = staged(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     texts = staged(only(reps, ids, ["doc_id"]).select("doc_id", "text"), "texts")
     side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    both = counted(pairs.select("a", "b")).join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches):
         last, kept = None, None
@@ -408,14 +408,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if ids.where("n > 1 or doc_id is null").isEmpty():
         found = join_documents(docs)
         first = staged(found.where("doc_id = component_id").select("doc_id"), "firsts")
-        return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+        return only(docs, first, ["doc_id"]).select(docs.columns)
     rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     found = join_documents(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnsRenamed({"doc_id": "_row", "component_id": "_group"})
     known = rows.select("_row", "doc_id", F.sha2("text", 256).alias("_text"))
     bare = F.expr("n_shingles = 0 and doc_id is not null")
     groups = found.join(known, "_row").groupBy(F.when(~bare, F.col("_group")), F.when(bare, F.struct("doc_id", "_text")))
     first = groups.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("_first")).select("_first._row")
-    return rows.join(staged(first, "firsts"), "_row", "left_semi").select(docs.columns)
+    return only(rows, staged(first, "firsts"), ["_row"]).select(docs.columns)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
