@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import uuid
 from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -52,29 +53,55 @@ def _gear(n: int = 1 << 16) -> np.ndarray:
 GEAR = _gear()
 
 
-def chunk_lengths(ids: np.ndarray) -> list[int]:
-    """Lengths of the chunks of `ids`: cuts where the hash of the last 16 ids allows, between LEAST and MOST ids apart."""
+PAD = 16
+
+
+def _hits(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places after which the hash of the last 16 ids allows a cut; PAD ids of nothing stand before each of `starts`."""
     h = GEAR[ids & 0xFFFF]
+    for k in range(1, PAD + 1):
+        h[starts - k] = 0
     for k in (1, 2, 4, 8):  # doubling: after k, h covers a window of 2k ids
         moved = np.zeros_like(h)
         moved[k:] = h[:-k] << np.uint32(k)
-        h = h + moved
+        h += moved
+    return np.flatnonzero((h & MASK) == 0) + 1
+
+
+def _cut(hits: list[int], n: int) -> list[int]:
+    """Lengths of the chunks of n ids: cuts at `hits`, between LEAST and MOST ids apart."""
     out, at = [], 0
-    for cut in (np.flatnonzero((h & MASK) == 0) + 1).tolist():
+    for cut in hits:
         while cut - at > MOST:
             out.append(MOST)
             at += MOST
         if cut - at >= LEAST:
             out.append(cut - at)
             at = cut
-    while len(ids) - at > MOST:
+    while n - at > MOST:
         out.append(MOST)
         at += MOST
-    if at < len(ids):
-        out.append(len(ids) - at)
+    if at < n:
+        out.append(n - at)
     return out
 
 
+def batch_lengths(texts: list[bytes]) -> list[list[int]]:
+    """The lengths of the chunks of each list of ids (as bytes), all hashed together."""
+    pad = bytes(4 * PAD)
+    ids = np.frombuffer(pad + pad.join(texts), "<u4")
+    n = np.array([len(t) // 4 for t in texts], np.int64)
+    starts = PAD + np.cumsum(n + PAD) - (n + PAD)
+    hits = _hits(ids, starts)
+    a, b = np.searchsorted(hits, starts, "right"), np.searchsorted(hits, starts + n, "right")
+    return [_cut((hits[i:j] - s).tolist(), k) for i, j, s, k in zip(a.tolist(), b.tolist(), starts.tolist(), n.tolist(), strict=True)]
+
+
+def chunk_lengths(ids: np.ndarray) -> list[int]:
+    """Lengths of the chunks of `ids`: cuts where the hash of the last 16 ids allows, between LEAST and MOST ids apart."""
+    return batch_lengths([ids.astype("<u4").tobytes()])[0]
+
+
 def merkle(leaves: list[bytes]) -> bytes:
     """Root of a binary tree over `leaves`; an odd node moves up."""
     while len(leaves) > 1:
@@ -111,13 +138,13 @@ def encode_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, 256 << 20)
         for batch in batches:
-            rows = []
-            for d, k, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids = np.frombuffer(enc.encode(t or "") + end, "<u4")
+            rows, every = [], [enc.encode(t or "") + end for t in batch.column(2).to_pylist()]
+            for d, k, x, cut in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), every, batch_lengths(every), strict=True):
+                ids, lengths = np.frombuffer(x, "<u4"), np.array(cut, "<u4")
                 width = 2 if ids.max() < 65536 else 4
-                data, lengths = ids.astype(f"<u{width}").tobytes(), np.array(chunk_lengths(ids), "<u4")
+                data = ids.astype(f"<u{width}").tobytes()
                 at = _bounds(lengths)
                 hashes = [blake2b(data[width * a : width * b], digest_size=HASH).digest() for a, b in zip(at, at[1:], strict=False)]
                 rows.append((d, k, len(ids), width, lengths.tobytes(), b"".join(hashes), data, merkle(hashes)))
@@ -274,8 +301,22 @@ def _together(batches):
         yield _transposed(rows, DOCUMENT)
 
 
-def read_store(spark, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (binary, unsigned 32-bit) of every document, each rebuilt and verified."""
+DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
+
+
+def _digested(run):
+    """`run` with the crc32 of the ids in their place."""
+
+    def inner(batches):
+        for b in run(batches):
+            yield _batch([*b.columns[:3], [crc32(x) for x in b.column(3).to_pylist()]], DIGEST)
+
+    return inner
+
+
+def read_store(spark, folder: str, digest: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids (binary, unsigned 32-bit; with `digest` their ids_crc32 instead) of every document, each rebuilt and verified."""
+    shape, told = (DIGEST, _digested) if digest else (DOCUMENT, lambda run: run)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     packs = spark.read.schema(PACKED).parquet(f"{folder}/packs")
     manifest = spark.read.parquet(f"{folder}/manifest")
@@ -283,16 +324,16 @@ def read_store(spark, folder: str) -> DataFrame:
     if not manifest.join(found, ["pack", "documents"], "full").where(~F.col("root").eqNullSafe(F.col("found"))).isEmpty():
         raise ValueError("a pack differs from the manifest")
     whole = F.length("foreign") == 0
-    alone = packs.where(whole).select(*READ).mapInArrow(lean(_alone), DOCUMENT)
+    alone = packs.where(whole).select(*READ).mapInArrow(lean(told(_alone)), shape)
     rest = packs.where(~whole)
     named = rest.select("row_key", "foreign", "hashes").mapInArrow(lean(_name), NAMED)
     given = packs.where(F.length("shared") > 0).select("width", "lengths", "hashes", "foreign", "shared", "payload").mapInArrow(lean(_give), GIVEN)
     parts = named.join(given, "hash").select("row_key", "ord", "part")
     both = parts.unionByName(rest.select("row_key", *READ), allowMissingColumns=True).repartition("row_key").sortWithinPartitions("row_key", F.col("root").isNotNull())
-    return alone.unionByName(both.mapInArrow(lean(_together), DOCUMENT))
+    return alone.unionByName(both.mapInArrow(lean(told(_together)), shape))
 
 
 def op3_token_output(spark, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/kinmatch/token-store-{uuid.uuid4().hex}"
     write_store(table(spark, sf_dir, "documents"), folder)
-    return read_store(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_store(spark, folder, digest=True)

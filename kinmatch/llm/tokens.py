@@ -4,7 +4,8 @@ White space never lies inside a token of this tokenizer, so a text is the
 concatenation of its chunks between spaces and line feeds, and the ids of a
 chunk are kept from one text to the next (two generations of bounded bytes).
 Of unknown chunks, lower-case words of Latin letters, which normalisation leaves
-as they are and pre-tokenisation never cuts, go straight to the library's model.
+as they are and pre-tokenisation never cuts, go straight to the library's model,
+and what begins with such a word is cut after it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ TOKENIZER = "word_bpe_49k.json"
 ENTRY = 160
 #: Beyond these letters lower-casing is left to the tokenizer.
 _OTHER = re.compile("[^\x00-ɏ]")
+#: Letters before a digit or a mark of ASCII, but for the apostrophe, which may stand in a token with letters.
+_HEAD = re.compile(r"[^\W\d_]+(?=[!-&(-@\[-`{-~])")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -52,14 +55,13 @@ class _Known(dict):
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str, generation: int = 128 << 20):
+    def __init__(self, path: str, generation: int = 64 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.generation, self.young, self.old = generation, _Known(self._learn), {}
-        self.marks = {m: self._ids(m) for m in ",."}
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -72,8 +74,8 @@ class ChunkEncoder:
                 return array("I", [t.id for t in self.tokenize(c)]).tobytes()
             if c == c.lower() and not _OTHER.search(c):
                 return array("I", [t.id for t in self.tokenize(c.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
-        elif c[-1] in self.marks and c[:-1].isalpha():
-            return self.young[c[:-1]] + self.marks[c[-1]]
+        elif (m := _HEAD.match(c)) and m[0].isalpha():  # pre-tokenisation cuts after a run of letters
+            return self.young[m[0]] + self.young[c[m.end() :]]
         return self._ids(c)
 
     def encode(self, text: str) -> bytes:
@@ -89,8 +91,9 @@ class ChunkEncoder:
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each tokenizer file in a Python worker."""
+def encoder(path: str, generation: int = 64 << 20) -> ChunkEncoder:
+    """One encoder for each tokenizer file in a Python worker, with at least so many bytes for chunks (twice, at most)."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = ChunkEncoder(path, generation)
+    _ENCODERS[path].generation = generation
     return _ENCODERS[path]
