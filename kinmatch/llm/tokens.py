@@ -67,7 +67,7 @@ class ChunkEncoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, c: str) -> bytes:
-        if (ids := self.old.get(c)) is not None:
+        if (ids := self.old.get(c)) is not None:  # get() learns nothing
             return ids
         if c.isalpha():
             if c.isascii() and c.islower():
@@ -84,7 +84,7 @@ class ChunkEncoder:
         if text.isascii() or not _OTHER.search(text):
             text = text.lower()
         if self.young.taken > self.generation:
-            self.old, self.young = dict(self.young), _Known(self._learn)
+            self.old, self.young = self.young, _Known(self._learn)
         return b"".join(map(self.young.__getitem__, text.replace("\n", " ").split(" ")))
 
 
