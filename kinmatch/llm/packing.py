@@ -102,8 +102,8 @@ def tokenize_pieces(docs: DataFrame, path: str | None = None, capacity: int = CA
         enc = encoder(path)
         for batch in batches:
             doc, piece, start, length, ids = [], [], [], [], []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = enc.encode(t or "") + end
+            for d, data in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
+                data += end
                 for k, i in enumerate(range(0, len(data), step)):
                     part = data[i : i + step]
                     doc.append(d)

@@ -140,7 +140,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches):
         enc = encoder(path, 160 << 20)
         for batch in batches:
-            rows, every = [], [enc.encode(t or "") + end for t in batch.column(2).to_pylist()]
+            rows, every = [], [ids + end for ids in enc.encode_all(batch.column(2).to_pylist())]
             for d, k, x, cut in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), every, batch_lengths(every), strict=True):
                 ids, lengths = np.frombuffer(x, "<u4"), np.array(cut, "<u4")
                 width = 2 if ids.max() < 65536 else 4

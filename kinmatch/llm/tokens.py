@@ -14,9 +14,15 @@ import os
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes that a kept chunk takes besides its characters and ids.
 ENTRY = 160
+#: Characters of texts that are cut into chunks at a time.
+PIECE = 4 << 20
 #: Beyond these letters lower-casing is left to the tokenizer.
 _OTHER = re.compile("[^\x00-ɏ]")
 #: Letters before a digit or a mark of ASCII, but for the apostrophe, which may stand in a token with letters.
@@ -79,13 +85,33 @@ class ChunkEncoder:
         return self._ids(c)
 
     def encode(self, text: str) -> bytes:
-        if "<|" in text:  # may hold a special token: nothing is cut or lower-cased here
-            return self._ids(text)
-        if text.isascii() or not _OTHER.search(text):
-            text = text.lower()
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; null is empty. PIECE characters of texts, or one longer text, are in hand at a time."""
+        out, group, size = [], [], 0
+        for t in texts:
+            if group and size + len(t or "") > PIECE:
+                out += self._group(group)
+                group, size = [], 0
+            group.append(t or "")
+            size += len(t or "")
+        return out + self._group(group) if group else out
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        """Every distinct chunk of the texts is looked up once; Arrow puts the ids in order."""
+        whole = {i: self._ids(t) for i, t in enumerate(texts) if "<|" in t}  # may hold a special token: nothing is cut or lower-cased
         if self.young.taken > self.generation:
             self.old, self.young = self.young, _Known(self._learn)
-        return b"".join(map(self.young.__getitem__, text.replace("\n", " ").split(" ")))
+        plain = ["" if i in whole else t.lower() if t.isascii() or not _OTHER.search(t) else t for i, t in enumerate(texts)]
+        cut = pc.split_pattern(pc.replace_substring(pa.array(plain, pa.large_string()), "\n", " "), " ")
+        chunks = cut.values.dictionary_encode()
+        known = pa.array(list(map(self.young.__getitem__, chunks.dictionary.to_numpy(zero_copy_only=False))), pa.large_binary())
+        ids = known.take(chunks.indices)
+        _, ends, data = ids.buffers()
+        at = np.frombuffer(ends, np.int64)[cut.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        return [whole[i] if i in whole else bytes(data[a:b]) for i, (a, b) in enumerate(zip(at, at[1:], strict=False))]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
