@@ -46,17 +46,30 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class _Known(dict):
-    """Ids by chunk; a chunk that is not there yet is learnt when it is asked for."""
+    """Ids by chunk; a chunk that is not there yet is learnt when it is asked for. A word with marks behind it is put together, not kept."""
 
-    def __init__(self, learn):
+    def __init__(self, tokenizer, old: dict):
         super().__init__({"": b""})
-        self.learn, self.taken = learn, 0
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.learn(chunk)
-        self.taken += ENTRY + len(chunk) + len(ids)
+        self.encode, self.tokenize, self.old, self.taken = tokenizer.encode, tokenizer.model.tokenize, old, 0
+
+    def __missing__(self, c: str) -> bytes:
+        word = c.isalpha()
+        if not word and (m := _HEAD.match(c)) and m[0].isalpha():  # pre-tokenisation cuts after a run of letters
+            return self[m[0]] + self[c[m.end() :]]
+        if (ids := self.old.get(c)) is None:  # get() learns nothing
+            if word and c.isascii() and c.islower():
+                ids = array("I", [t.id for t in self.tokenize(c)]).tobytes()
+            elif word and c == c.lower() and not _OTHER.search(c):
+                ids = array("I", [t.id for t in self.tokenize(c.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+            else:
+                ids = self.whole(c)
+        self[c] = ids
+        self.taken += ENTRY + len(c) + len(ids)
         return ids
 
+    def whole(self, text: str) -> bytes:
+        return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
+
 
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
@@ -65,24 +78,8 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenize = self.tokenizer.model.tokenize
-        self.generation, self.young, self.old = generation, _Known(self._learn), {}
-
-    def _ids(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, c: str) -> bytes:
-        if (ids := self.old.get(c)) is not None:  # get() learns nothing
-            return ids
-        if c.isalpha():
-            if c.isascii() and c.islower():
-                return array("I", [t.id for t in self.tokenize(c)]).tobytes()
-            if c == c.lower() and not _OTHER.search(c):
-                return array("I", [t.id for t in self.tokenize(c.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
-        elif (m := _HEAD.match(c)) and m[0].isalpha():  # pre-tokenisation cuts after a run of letters
-            return self.young[m[0]] + self.young[c[m.end() :]]
-        return self._ids(c)
+        self.tokenizer, self.generation = Tokenizer.from_file(path), generation
+        self.young = _Known(self.tokenizer, {})
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -100,9 +97,10 @@ class ChunkEncoder:
 
     def _group(self, texts: list[str]) -> list[bytes]:
         """Every distinct chunk of the texts is looked up once; Arrow puts the ids in order."""
-        whole = {i: self._ids(t) for i, t in enumerate(texts) if "<|" in t}  # may hold a special token: nothing is cut or lower-cased
+        whole = {i: self.young.whole(t) for i, t in enumerate(texts) if "<|" in t}  # may hold a special token: nothing is cut or lower-cased
         if self.young.taken > self.generation:
-            self.old, self.young = self.young, _Known(self._learn)
+            self.young.old = {}
+            self.young = _Known(self.tokenizer, self.young)
         plain = ["" if i in whole else t.lower() if t.isascii() or not _OTHER.search(t) else t for i, t in enumerate(texts)]
         cut = pc.split_pattern(pc.replace_substring(pa.array(plain, pa.large_string()), "\n", " "), " ")
         chunks = cut.values.dictionary_encode()
