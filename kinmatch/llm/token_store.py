@@ -138,7 +138,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        enc = encoder(path, 96 << 20)
+        enc = encoder(path, 64 << 20)
         for batch in batches:
             rows, every = [], [ids + end for ids in enc.encode_all(batch.column(2).to_pylist())]
             for d, k, x, cut in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), every, batch_lengths(every), strict=True):
