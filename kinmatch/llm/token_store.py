@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import uuid
 from hashlib import blake2b
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
@@ -39,6 +40,8 @@ from .tokens import encoder, tokenizer_path
 
 END_ID, LEAST, MOST, MASK = 1, 64, 4096, 511
 HASH = 16
+#: Ids are written twice and read back at once: the cheapest level will do.
+FAST = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
 #: Documents under one node of a pack's tree.
 FAN = 4096
 
@@ -142,12 +145,12 @@ def encode_documents(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         for batch in batches:
             rows, every = [], [ids + end for ids in enc.encode_all(batch.column(2).to_pylist())]
             for d, k, x, cut in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), every, batch_lengths(every), strict=True):
-                ids, lengths = np.frombuffer(x, "<u4"), np.array(cut, "<u4")
+                ids = np.frombuffer(x, "<u4")
                 width = 2 if ids.max() < 65536 else 4
                 data = ids.astype(f"<u{width}").tobytes()
-                at = _bounds(lengths)
+                at = [0, *accumulate(cut)]
                 hashes = [blake2b(data[width * a : width * b], digest_size=HASH).digest() for a, b in zip(at, at[1:], strict=False)]
-                rows.append((d, k, len(ids), width, lengths.tobytes(), b"".join(hashes), data, merkle(hashes)))
+                rows.append((d, k, len(ids), width, np.array(cut, "<u4").tobytes(), b"".join(hashes), data, merkle(hashes)))
             yield _transposed(rows, ENCODED)
 
     return docs.select("doc_id", F.monotonically_increasing_id().alias("row_key"), "text").mapInArrow(lean(run), ENCODED)
@@ -210,7 +213,7 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     """Encodes `docs` and writes the store to `folder`."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    encode_documents(docs, path or tokenizer_path(), end_id).write.option("compression", "zstd").parquet(f"{folder}/encoded")
+    encode_documents(docs, path or tokenizer_path(), end_id).write.options(**FAST).parquet(f"{folder}/encoded")
     encoded = spark.read.schema(ENCODED).parquet(f"{folder}/encoded")
 
     chunks = _chunks(encoded)
@@ -227,7 +230,7 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     both = notes.unionByName(encoded, allowMissingColumns=True)
     ranged = both.repartitionByRange(partitions(spark), "doc_id").withColumn("pack", F.spark_partition_id())
     ranged = ranged.sortWithinPartitions("doc_id", "row_key", F.col("payload").isNotNull())
-    ranged.mapInArrow(lean(_settle), PACKED).write.option("compression", "zstd").parquet(f"{folder}/packs")
+    ranged.mapInArrow(lean(_settle), PACKED).write.options(**FAST).parquet(f"{folder}/packs")
     forget(spark, f"{folder}/encoded")
     for t in (owners, notes):
         drop_staged(t)

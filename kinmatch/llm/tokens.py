@@ -53,8 +53,10 @@ class _Known(dict):
         self.encode, self.tokenize, self.old, self.taken = tokenizer.encode, tokenizer.model.tokenize, old, 0
 
     def __missing__(self, c: str) -> bytes:
+        if c[-1] in ",." and (head := c[:-1]).isalpha():  # pre-tokenisation cuts after a run of letters
+            return self[head] + self[c[-1]]
         word = c.isalpha()
-        if not word and (m := _HEAD.match(c)) and m[0].isalpha():  # pre-tokenisation cuts after a run of letters
+        if not word and (m := _HEAD.match(c)) and m[0].isalpha():
             return self[m[0]] + self[c[m.end() :]]
         if (ids := self.old.get(c)) is None:  # get() learns nothing
             if word and c.isascii() and c.islower():
