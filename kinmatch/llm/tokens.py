@@ -29,6 +29,11 @@ _OTHER = re.compile("[^\x00-ɏ]")
 _HEAD = re.compile(r"[^\W\d_]+(?=[!-&(-@\[-`{-~])")
 
 
+def _settled(word: str) -> bool:
+    """Whether normalisation keeps the word's letters apart from what follows: a dotted capital I, for one, leaves a mark that joins it."""
+    return word.isascii() or word == word.lower() and not _OTHER.search(word)
+
+
 def _byte_letters() -> dict[int, int]:
     """The byte-level alphabet: bytes that print stand for themselves, the others for the code points from 256 on."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -53,10 +58,10 @@ class _Known(dict):
         self.encode, self.tokenize, self.old, self.taken = tokenizer.encode, tokenizer.model.tokenize, old, 0
 
     def __missing__(self, c: str) -> bytes:
-        if c[-1] in ",." and (head := c[:-1]).isalpha():  # pre-tokenisation cuts after a run of letters
+        if c[-1] in ",." and (head := c[:-1]).isalpha() and _settled(head):  # pre-tokenisation cuts after a run of letters
             return self[head] + self[c[-1]]
         word = c.isalpha()
-        if not word and (m := _HEAD.match(c)) and m[0].isalpha():
+        if not word and (m := _HEAD.match(c)) and m[0].isalpha() and _settled(m[0]):
             return self[m[0]] + self[c[m.end() :]]
         if (ids := self.old.get(c)) is None:  # get() learns nothing
             if word and c.isascii() and c.islower():

@@ -94,12 +94,21 @@ def test_url_model_on_words_it_has_not_seen():
 
 def test_encoder_equals_the_library(spark):
     e = ChunkEncoder(tokenizer_path(), generation=50)
-    odd = ["", "  a\tb\x1cc d　e  ", "It's the THE'S don't I'LL", "ΑΣ ΟΔΟΣ Σ.", "İstanbul ıI", "x<|endoftext|>y <|ENDOFTEXT|>", "é é", "नमस्ते दुनिया।", "日本語、です。", "foo,. bar.. a.b,c 1,2", "a\r\nb\x85d"]
+    odd = ["", "  a\tb\x1cc d　e  ", "It's the THE'S don't I'LL", "ΑΣ ΟΔΟΣ Σ.", "İstanbul ıI", "x<|endoftext|>y <|ENDOFTEXT|>", "é é", "नमस्ते दुनिया।", "日本語、です。", "foo,. bar.. a.b,c 1,2", "a\r\nb\x85d", "— İ, x", "— क़, y", "— Été, a.b É."]
     sample = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()]
     for x in odd + sample:
         assert e.encode(x) == encoded(x, 0)[:-4]
 
 
+def test_encoder_takes_texts_together(monkeypatch):
+    """Whatever lies together in a batch or alone, ids are the same; null is empty."""
+    several = [None, "", "one two, two.", "<|endoftext|> İ,", "three one\ntwo " * 30, None, "one"]
+    for piece in (1, 40, 1 << 20):
+        monkeypatch.setattr("kinmatch.llm.tokens.PIECE", piece)
+        assert ChunkEncoder(tokenizer_path(), generation=50).encode_all(several) == [encoded(x, 0)[:-4] for x in several]
+    assert ChunkEncoder(tokenizer_path()).encode_all([]) == []
+
+
 def test_store_rebuilds_every_document(spark, tmp_path, odd):
     token_store.write_store(odd, str(tmp_path / "store"))
     got = token_store.read_store(spark, str(tmp_path / "store")).orderBy("doc_id").collect()
